@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontam, sharding
+from verdigris.llm import decontam, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,31 @@ def op4_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     found = decontam.scan(documents(spark, sf_dir).select("doc_id", "text"), items)
     digest = F.sha2(F.array_join("hit_items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+_STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+OP2_SQL = rf"""
+WITH base AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+grams AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM base WHERE len(w) > 2)),
+twice AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+repeats AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY rid),
+counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[{quality.SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(list_filter(w, lambda x: lower(x) IN ({_STOPS})))::BIGINT AS n_stop_words,
+         coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM base LEFT JOIN repeats USING (rid)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars * 100 BETWEEN 200 * n_words AND 1400 * n_words AND n_symbols * 100 <= 10 * n_words
+       AND n_stop_words * 100 >= 2 * n_words AND n_dup_lines * 100 <= 60 * n_lines AS kept
+FROM failed"""
+
+
+@query("op2_threshold_rules", OP2_SQL)
+def op2_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(documents(spark, sf_dir).select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
