@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch for Python; texts may be long, so a batch has few.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch for Python at most; a single row may be larger.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,10 +31,11 @@ def saved(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the Arrow batches that Python gets small; a lower setting of the user stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keeps the Arrow batches that Python gets small; lower settings of the user stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, "0").lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def map_batches(df: DataFrame, work, schema: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontam, packing, quality, sharding
+from verdigris.llm import decontam, packing, quality, rans, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,9 @@ def op2_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_deficit_round_robin_packing")
 def op10_deficit_round_robin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
+
+
+@query("op7_interleaved_rans")
+def op7_interleaved_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, table = rans.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, vocabulary=50_257)
+    return rans.read(blocks, table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
