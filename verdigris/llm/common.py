@@ -33,7 +33,7 @@ def saved(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Keeps the Arrow batches that Python gets small; lower settings of the user stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, "0").lower().rstrip("b")
+        now = spark.conf.get(key).lower().rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
