@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontam, packing, quality, rans, sharding
+from verdigris.llm import decontam, langid, packing, quality, rans, sharding
+from verdigris.llm.common import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +128,11 @@ def op10_deficit_round_robin_packing(spark: SparkSession, sf_dir: str) -> DataFr
 def op7_interleaved_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, table = rans.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, vocabulary=50_257)
     return rans.read(blocks, table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_ftrl_language_id")
+def op5_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_of_id() % 3 == 1
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
