@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontam, langid, packing, quality, rans, sharding
+from verdigris.llm import decontam, langid, packing, pii, quality, rans, sharding
 from verdigris.llm.common import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,9 @@ def op5_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_of_id() % 3 == 1
     model = langid.fit(docs.where(~held_out))
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op3_skip_chain_crf_pii")
+def op3_skip_chain_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.detect(docs, pii.train(docs)).drop("text")
