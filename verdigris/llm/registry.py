@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontam, langid, packing, pii, quality, rans, sharding
+from verdigris.llm import decontam, langid, lm, packing, pii, quality, rans, sharding
 from verdigris.llm.common import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,10 @@ def op5_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_skip_chain_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return pii.detect(docs, pii.train(docs)).drop("text")
+
+
+@query("op1_subword_lattice_likelihood")
+def op1_subword_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = lm.score(docs, docs.where(crc_of_id() % 7 != 2), public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.select("doc_id", (crc_of_id() % 7 == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
