@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import chat, decontam, langid, lm, packing, pii, quality, rans, sharding
+from verdigris.llm import chat, decontam, langid, lm, neardup, packing, pii, quality, rans, sharding
 from verdigris.llm.common import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,8 @@ def op6_chat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string")
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return chat.read_back(talks.unionByName(planted))
+
+
+@query("op9_chosen_path_join")
+def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
