@@ -44,9 +44,21 @@ def map_batches(df: DataFrame, work, schema: str) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    """A column of texts; null becomes empty."""
-    return [x or "" for x in batch.column(column).to_pylist()]
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The table without columns of these names (in any case), so that an operator's own can take their place."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
+def kept_rows(df: DataFrame, keep, column: str) -> DataFrame:
+    """The rows, all columns unchanged, for which keep() says so. keep: makes, once for a task, a function from a value of the column to a boolean."""
+
+    def work(batches):
+        good = keep()
+        for batch in batches:
+            yield batch.filter(pa.array([good(x) for x in batch.column(column).to_pylist()], pa.bool_()))
+
+    return map_batches(df, work, df.schema)
 
 
 def crc_of_id(column: str = "doc_id") -> Column:

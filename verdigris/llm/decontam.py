@@ -11,8 +11,8 @@ blocks pass over all documents one after another. Longer items are split over wi
 
 Defined results: a null or empty text has no words and no hits; items without words match nothing;
 repeated item ids count once; repeated documents are scanned each; with no items, nothing is hit;
-further columns of the documents stay as they are (names starting with an underscore and "hit" are
-reserved).
+further columns of the documents stay as they are, but for those with the name of a result, which
+``scan`` replaces.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import map_batches, saved
+from verdigris.llm.common import kept_rows, map_batches, saved, without
 
 WINDOW = 10
 BLOCK_WORDS = 250_000
@@ -104,6 +104,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> list[lis
 
 def scan(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with n_words, n_hit, hit_items (sorted ids), hit_spans (code points) and contaminated."""
+    docs = without(docs, "n_words", "n_hit", "hit_items", "hit_spans", "contaminated", "_items", "_ranges")
     blocks = _blocks(items, item_id, item_text, block_words)
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words bigint, n_hit bigint, hit_items array<string>, hit_spans array<bigint>, contaminated boolean").fields])
     if len(blocks) == 1:
@@ -174,6 +175,13 @@ def items_digest(items: list[str] | None) -> str:
     return hashlib.sha256(",".join(sorted(items or [])).encode()).hexdigest()
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
-    return scan(docs, items).where(~F.col("contaminated")).select(*[f"`{c}`" for c in docs.columns])
+    for block in _blocks(items, item_id, item_text, block_words):
+
+        def keep(block=block):
+            scanner = Scanner(block, width)
+            return lambda text: not scanner.scan(words_of(text))[0]
+
+        docs = kept_rows(docs, keep, text_col)
+    return docs

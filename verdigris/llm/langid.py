@@ -10,7 +10,7 @@ from once after that.
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text if
 there is nothing to learn from; documents without a label are not learned from; ties go to the
 first label in alphabetical order; texts are read whole; repeated rows count each; further columns
-pass through ``predict`` unless named lang_pred or score. At most MAX_CLASSES labels, the most
+pass through, but for those named lang_pred or score, which ``predict`` replaces. At most MAX_CLASSES labels, the most
 frequent, are learned.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import map_batches
+from verdigris.llm.common import kept_rows, map_batches, without
 
 BUCKET_BITS = 15
 SAMPLE_ROWS, EPOCHS, MAX_CLASSES = 8192, 2, 256
@@ -170,6 +170,7 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents with lang_pred and score. The model is a few MB for a few languages, 34 MB for MAX_CLASSES."""
+    docs = without(docs, "lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
@@ -181,6 +182,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return map_batches(docs, work, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """The documents whose language is told with at least that probability, with their own columns."""
-    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[f"`{c}`" for c in docs.columns])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep():
+        own = sent.value
+
+        def good(text):
+            language, score = own.predict(text)
+            return language != UNKNOWN and score >= least
+
+        return good
+
+    return kept_rows(docs, keep, text_col)

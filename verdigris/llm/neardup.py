@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdigris.llm.common import map_batches, rows_of, saved
 
@@ -348,16 +349,14 @@ def link(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
 def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents of which one stands for each group, with their own columns; texts without words all stay."""
     heads = link(docs, text_col, id_col).where("kept and (n_shingles = 0 or fp = head)")
-    names = saved(heads.select(F.col("doc_id").alias("_id"), F.when(F.col("n_shingles") > 0, F.col("fp")).alias("_fp")).distinct(), "neardup-heads")
-    tagged = docs.join(names.select("_id").distinct(), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    names = saved(heads.select(F.col("doc_id").alias("__neardup_id"), F.when(F.col("n_shingles") > 0, F.col("fp")).alias("__neardup_fp")).distinct(), "neardup-heads")
+    tagged = docs.join(names.select("__neardup_id").distinct(), F.col(id_col).cast("long").eqNullSafe(F.col("__neardup_id")), "left_semi")
 
     def work(batches):
         for batch in batches:
             sets = [shingles(x) for x in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, "__neardup_fp"])
 
-    from pyspark.sql import types as T
-
-    tagged = map_batches(tagged, work, T.StructType([*docs.schema.fields, T.StructField("_fp", T.BinaryType())]))
-    stay = tagged.join(names.where("_fp is not null").withColumnRenamed("_fp", "_name"), (F.col("_fp") == F.col("_name")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col, "_fp"])
-    return stay.unionByName(tagged.where("_fp is null")).select(*[f"`{c}`" for c in docs.columns])
+    tagged = map_batches(tagged, work, T.StructType([*docs.schema.fields, T.StructField("__neardup_fp", T.BinaryType())]))
+    stay = tagged.join(names.where("__neardup_fp is not null").withColumnRenamed("__neardup_fp", "__neardup_name"), (F.col("__neardup_fp") == F.col("__neardup_name")) & F.col(id_col).cast("long").eqNullSafe(F.col("__neardup_id")), "left_semi").dropDuplicates([id_col, "__neardup_fp"])
+    return stay.unionByName(tagged.where("__neardup_fp is null")).select(*[f"`{c}`" for c in docs.columns])

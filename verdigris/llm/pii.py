@@ -18,7 +18,7 @@ found becomes a span if its belief in a kind reaches ``least``; spans of the rul
 
 Defined results: a null or empty text has no spans; very long texts are scanned whole, in linear
 time; repeated rows are scanned each; an empty table gives an empty result; further columns pass
-through unless named spans. Without training data the rules alone decide.
+through, but for those with the name of a result, which ``detect`` replaces. Without training data the rules alone decide.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import map_batches
+from verdigris.llm.common import map_batches, without
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -293,6 +293,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def detect(docs: DataFrame, model: Field, text_col: str = "text", least: float = 0.9) -> DataFrame:
     """The documents with n_email, n_ip, n_card, n_phone (rules), base_sha256 and spans."""
+    docs = without(docs, *(f"n_{k}" for k in KINDS), "base_sha256", "spans")
 
     def work(batches):
         for batch in batches:

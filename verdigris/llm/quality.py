@@ -11,7 +11,7 @@ Measures are computed from the whole text by built-in array and string functions
 
 Defined results: a null or empty text has all measures 0 and fails the minimum length; very long
 texts cost n log n; repeated rows are judged each; an empty table gives an empty result; other
-columns pass through ``measure`` untouched, unless they have the name of a measure.
+columns pass through, but for those with the name of a result or of flat, words and lines.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.llm.common import without
+
 #: Frequent function words of the corpus's languages.
 STOP_WORDS = (
     "the of and to in a is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their"
@@ -85,6 +87,7 @@ def _repeat_words() -> str:
 
 def measure(docs: DataFrame, text_col: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """The documents with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words and n_repeat_words."""
+    docs = without(docs, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words", "base_failed", "kept", "flat", "words", "lines")
     text = f"coalesce(cast(`{text_col}` as string), '')"
     listed = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words)
     flat = docs.withColumn("flat", F.expr(f"trim(BOTH ' ' FROM regexp_replace({text}, '{_SPACE}', ' '))"))

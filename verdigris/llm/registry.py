@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from verdigris.llm import chat, decontam, langid, lm, neardup, packing, pii, quality, rans, sharding
 from verdigris.llm.common import crc_of_id
 
@@ -173,3 +174,8 @@ def op6_chat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_chosen_path_join")
 def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
