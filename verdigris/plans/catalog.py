@@ -1,39 +1,6 @@
-"""The registered queries and their DuckDB counterparts."""
+"""All registered queries. Importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query and, where SQL can express it, its oracle."""
-
-    def put(build):
-        QUERIES[name] = build
-        if sql is not None:
-            ORACLES[name] = sql
-        return build
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "byte_identity_groups",
-    """SELECT sha256(text) AS sha256, min(doc_id) AS primary_id, count(*) AS n_copies,
-              array_to_string(list_sort(list(doc_id)), ',') AS members
-       FROM documents GROUP BY sha256(text) HAVING count(*) > 1""",
-)
-def byte_identity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    groups = docs.groupBy("sha256").agg(F.min("doc_id").alias("primary_id"), F.count("*").alias("n_copies"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return groups.where("n_copies > 1").select("sha256", "primary_id", "n_copies", F.array_join(F.col("ids").cast("array<string>"), ",").alias("members"))
+from verdigris.plans import claims, identity, ledger, retrieval, tables, upserts  # noqa: F401
+from verdigris.plans.base import ORACLES, QUERIES  # noqa: F401
