@@ -44,6 +44,7 @@ ROUNDS, PRIOR = 3, 0.01
 COUNTED, REMEMBERED = 200_000, 300_000
 _MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
+_SLOT = np.uint64(64 - 20)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -71,11 +72,27 @@ class Lattice:
         taken = set(byte.values())
         self.number = {p: k for k, p in enumerate(pieces) if k not in taken}
         self.longest = max(map(len, self.number), default=1)
-        keys = np.array([self._hash(p) for p in self.number], np.uint64)
+        starts = {p[:k]: -1 for p in self.number for k in range(1, len(p))} | self.number  # what begins a piece, -1 unless it is one
+        keys = np.array([self._hash(p) for p in starts], np.uint64)
         order = np.argsort(keys)
-        self._keys, self._ids = keys[order], np.array(list(self.number.values()))[order]
+        self._keys, self._ids = keys[order], np.array(list(starts.values()))[order]
         if (self._keys[1:] == self._keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        slots = (self._keys >> _SLOT).astype(np.int64)
+        self._first = np.zeros(1 << (64 - int(_SLOT)), np.int32)
+        self._first[slots[::-1]] = np.arange(len(slots) - 1, -1, -1)
+        self._crowded = np.bincount(slots, minlength=len(self._first)) > 1
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes among the keys, and which are there: by a table of slots, by search where keys share one."""
+        slots = (h >> _SLOT).astype(np.int64)
+        at = self._first[slots]
+        there = self._keys[at] == h
+        rest = np.flatnonzero(self._crowded[slots] & ~there)
+        if len(rest):
+            at[rest] = np.minimum(np.searchsorted(self._keys, h[rest]), len(self._keys) - 1)
+            there[rest] = self._keys[at[rest]] == h[rest]
+        return at, there
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -87,23 +104,25 @@ class Lattice:
     def _spelled(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode()]
 
-    def _edges(self, chars: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(from, to, piece ids, log probabilities) for words of one length; no piece: id -1."""
+    def _edges(self, chars: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(from, to, rows, their piece ids, log probabilities) for words of one length; id -1: spelled in bytes."""
         width = chars.shape[1]
         for i in range(width):
-            h = np.zeros(len(chars), np.uint64)
+            rows, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
             for j in range(i + 1, min(width, i + self.longest) + 1):
-                h = h * _P + chars[:, j - 1] + np.uint64(1)
-                at = np.minimum(np.searchsorted(self._keys, h), len(self._keys) - 1)
-                hit = self._keys[at] == h
-                ids = np.where(hit, self._ids[at], -1)
-                logs = np.where(hit, self.logs[ids], -np.inf)
-                if j == i + 1 and not hit.all():
-                    for k in np.flatnonzero(~hit):
-                        ids[k] = -2
-                        logs[k] = self.logs[self._spelled(chr(int(chars[k, i])))].sum()
-                if (ids != -1).any():
-                    yield i, j, ids, logs
+                h = h * _P + chars[rows, j - 1] + np.uint64(1)
+                at, begun = self._find(h)
+                ids = np.where(begun, self._ids[at], -1)
+                if j == i + 1 and (ids < 0).any():
+                    odd = rows[ids < 0]
+                    spelled = {c: self.logs[self._spelled(chr(c))].sum() for c in set(chars[odd, i].tolist())}
+                    yield i, j, odd, np.full(len(odd), -1), np.array([spelled[c] for c in chars[odd, i].tolist()])
+                whole = ids >= 0
+                if whole.any():
+                    yield i, j, rows[whole], ids[whole], self.logs[ids[whole]]
+                rows, h = rows[begun], h[begun]
+                if not len(rows):
+                    break
 
     def marginals(self, words: list[bytes]) -> np.ndarray:
         """Natural log probability of each word over all its segmentations."""
@@ -114,8 +133,8 @@ class Lattice:
                 continue
             alpha = np.full((chars.shape[1] + 1, len(chars)), -np.inf)
             alpha[0] = 0
-            for i, j, _, logs in self._edges(chars):
-                alpha[j] = np.logaddexp(alpha[j], alpha[i] + logs)
+            for i, j, rows, _, logs in self._edges(chars):
+                alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + logs)
             out[at] = alpha[-1]
         return out
 
@@ -137,16 +156,18 @@ class Lattice:
             edges = list(self._edges(chars))
             alpha, beta = np.full((width + 1, rows), -np.inf), np.full((width + 1, rows), -np.inf)
             alpha[0] = beta[-1] = 0
-            for i, j, _, logs in edges:
-                alpha[j] = np.logaddexp(alpha[j], alpha[i] + logs)
-            for i, j, _, logs in reversed(edges):
-                beta[i] = np.logaddexp(beta[i], beta[j] + logs)
-            for i, j, ids, logs in edges:
-                use = np.exp(alpha[i] + logs + beta[j] - alpha[-1]) * counts[at]
-                known = ids >= 0
-                out += np.bincount(ids[known], use[known], len(out))
-                for k in np.flatnonzero(ids == -2):
-                    np.add.at(out, self._spelled(chr(int(chars[k, i]))), use[k])
+            for i, j, at_rows, _, logs in edges:
+                alpha[j, at_rows] = np.logaddexp(alpha[j, at_rows], alpha[i, at_rows] + logs)
+            for i, j, at_rows, _, logs in reversed(edges):
+                beta[i, at_rows] = np.logaddexp(beta[i, at_rows], beta[j, at_rows] + logs)
+            weight = counts[at]
+            for i, j, at_rows, ids, logs in edges:
+                use = np.exp(alpha[i, at_rows] + logs + beta[j, at_rows] - alpha[-1, at_rows]) * weight[at_rows]
+                if ids[0] >= 0:
+                    out += np.bincount(ids, use, len(out))
+                else:
+                    for c, u in zip(chars[at_rows, i].tolist(), use.tolist(), strict=True):
+                        np.add.at(out, self._spelled(chr(c)), u)
         return out
 
 
@@ -249,7 +270,7 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str, text_col: str = "t
     def work(batches):
         names, c, own = sent.value
         number = {w: k for k, w in enumerate(names.split())}
-        base, logs = np.log10(c + 1.0) - whole, np.full(len(c), np.nan)
+        base, logs, listed = np.log10(c + 1.0) - whole, np.full(len(c), np.nan), list(number)
         memory: dict[bytes, float] = {}
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -267,12 +288,11 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str, text_col: str = "t
             met = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
             met = met[np.isnan(logs[met])]
             if len(met):
-                split = names.split()
-                logs[met] = own.lattice.marginals([split[k] for k in met])
-            new = [w for w in set().union(*rest) if w not in memory]
+                logs[met] = own.lattice.marginals([listed[k] for k in met])
+            tails = set().union(*rest)
+            new = [w for w in tails if w not in memory]
             if len(memory) + len(new) > REMEMBERED:
-                memory = {}
-                new = list(set().union(*rest))
+                memory, new = {}, list(tails)
             memory.update(zip(new, own.lattice.marginals(new), strict=True))
             for k, (at, tail) in enumerate(zip(found, rest, strict=True)):
                 row = (part << 33) + place + k
