@@ -15,6 +15,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What a walk skips, and the kinds of extensions and folders.
 SKIPPED_FOLDERS = [".git", ".scientist", "__pycache__", "node_modules", ".ipynb_checkpoints", ".venv", "venv", "site-packages"]
@@ -22,7 +23,8 @@ SKIPPED_SUFFIXES = [".dist-info", ".egg-info"]
 TABULAR = [".csv", ".tsv", ".xlsx", ".xls"]
 NARRATIVE = [".md", ".txt", ".pdf", ".docx", ".pptx", ".html"]
 ROLES = ["raw", "data", "analysis", "reports"]
-PRISM_TYPE = "array<struct<title:string,x:array<string>,ys:array<struct<title:string,subs:array<array<string>>>>>>"
+_TEXTS = T.ArrayType(T.StringType())
+PRISM_TYPE = T.ArrayType(T.StructType().add("title", "string").add("x", _TEXTS).add("ys", T.ArrayType(T.StructType().add("title", "string").add("subs", T.ArrayType(_TEXTS)))))
 
 
 def wanted(path: Column) -> Column:
@@ -75,7 +77,7 @@ def claims(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("claims").alias("c")).select("c.*") if "claims" in rows.columns else rows
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TEXTS)
 def zip_members(contents: pd.Series) -> pd.Series:
     """The real members of archives, null for what is none."""
 
@@ -123,7 +125,7 @@ def prism_xml(contents: pd.Series) -> pd.Series:
 def reader(read: Callable[[bytes], str]) -> Callable[[Column], Column]:
     """A text column from bytes by a given reader; what it can't read is null, so that one bad file stops no batch."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def texts(contents: pd.Series) -> pd.Series:
         def one(data: bytes) -> str | None:
             try:
