@@ -12,8 +12,8 @@ as 64-bit hashes. Documents with equal sets are one class; the join runs over cl
   most of its parent: then its classes are alike and no branching would part them. Such a dense
   node is compared in chunks, each together with the node's most central classes; classes that stay
   apart from the node's largest component are then compared with all its chunks;
-* pairs whose signatures may belong to a similarity over the threshold are confirmed on full sets,
-  first those of a spanning forest, then all that still lie between components. So a group of
+* pairs whose sketches (the least token of each of BINS ranges of hashes) may belong to a similarity
+  over the threshold, but for one in 400,000, are confirmed on full sets, first those of a spanning forest, then all that still lie between components. So a group of
   copies is linked without listing its pairs, and no link between different texts is lost.
 
 Components grow by minimum labels with pointer jumping. No step holds a group whole: nodes are
@@ -40,11 +40,11 @@ from pyspark.sql import types as T
 from verdigris.llm.common import map_batches, rows_of, saved
 
 WORDS, SIGNATURE, TREES = 5, 64, 16
-LEAF, CHUNK, CENTRAL = 200, 100, 50
-#: Trees are at most this deep; a node this deep counts as dense.
-DEPTH = 12
-#: Share of equal minwise tokens from which a pair is confirmed: 4.6 deviations under 0.75.
-LIKELY = 0.5
+LEAF, CHUNK, CENTRAL = 1000, 500, 200
+#: Trees are at most this deep; a node this deep counts as dense, as does one that keeps so many hundredths of its parent.
+DEPTH, KEPT = 8, 90
+#: Bins of the sketch by which pairs are chosen for confirmation, and bits that name the documents whose sets are made anew.
+BINS, SLOTS = 512, 1 << 22
 REMEMBERED = 300_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _A = np.random.default_rng(20_240).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,6 +92,26 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return out.astype("<u4")
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """For each range of hashes a byte of the least token in it, 0 where there is none."""
+    out = np.zeros(BINS, np.uint8)
+    bins = (tokens >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]]) if len(bins) else bins
+    out[bins[first]] = tokens[first] % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def likely(one: np.ndarray, n: int, others: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated similarity, whether it may be 0.75) of a sketch to others: within 4.6 deviations, for a sample without replacement of the union."""
+    equal = ((others == one) & (one != 0)).sum(1)
+    union = np.count_nonzero(others | one, axis=1)
+    estimate = equal / union
+    whole = np.maximum((n + ns) / 1.75, union)
+    room = 4.6 * np.sqrt(0.1875 / union * np.maximum(1 - union / whole, 0.02))
+    small, large = np.minimum(n, ns), np.maximum(n, ns)
+    return estimate, (estimate >= 0.75 - room - 0.005) & (4 * small >= 3 * large)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether 100 * |intersection| >= 75 * |union|."""
     if not len(a) or not len(b) or 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
@@ -101,23 +121,24 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _features(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Saved: row, doc_id, n, fp (what names the set) and sig."""
+    """Saved: row, doc_id, n, fp (what names the set), sig and sketch."""
 
     def work(batches):
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            n, names, sigs = [], [], []
+            n, names, sigs, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text)
                 n.append(len(s))
                 names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sigs.append(signature(s).tobytes())
+                sketches.append(sketch(s).tobytes())
             rows = pa.array(range((part << 33) + place, (part << 33) + place + len(n)), pa.int64())
             place += len(n)
-            yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], ["row", "doc_id", "n", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())], ["row", "doc_id", "n", "fp", "sig", "sketch"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return saved(map_batches(narrow, work, "row bigint, doc_id bigint, n bigint, fp binary, sig binary"), "neardup-sets")
+    return saved(map_batches(narrow, work, "row bigint, doc_id bigint, n bigint, fp binary, sig binary, sketch binary"), "neardup-sets")
 
 
 def children(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +195,7 @@ def _grown(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         large = sizes.where(F.col("size") > LEAF)
         if not large.take(1):
             break
-        kept = F.coalesce(F.col("size") * 4 >= F.col("parent") * 3, F.lit(False)) | F.lit(depth == DEPTH)
+        kept = F.coalesce(F.col("size") * 100 >= F.col("parent") * KEPT, F.lit(False)) | F.lit(depth == DEPTH)
         rows = level.select("node", "cid").join(large.select("node", "size", kept.alias("dense")), "node")
         dense.append(rows.where("dense").drop("dense"))
         level = saved(_branched(rows.where("not dense"), classes), "neardup-level")
@@ -205,7 +226,7 @@ def _chunks(dense: list[DataFrame], classes: DataFrame) -> DataFrame | None:
 
 def _compared(sets: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Likely pairs (a, b) inside sets (key, cid): a spanning forest, or with labels all that lie between components."""
-    rows = sets.join(classes.select("cid", "n", "sig"), "cid")
+    rows = sets.join(classes.select("cid", "n", "sketch"), "cid")
     if labels is None:
         rows = rows.withColumn("label", F.col("cid"))
     else:
@@ -213,20 +234,20 @@ def _compared(sets: DataFrame, classes: DataFrame, labels: DataFrame | None) ->
     everything = labels is not None
 
     def work(batches):
-        for _, group in groupby(rows_of(batches, "key", "cid", "n", "sig", "label"), key=lambda r: r[0]):
+        for _, group in groupby(rows_of(batches, "key", "cid", "n", "sketch", "label"), key=lambda r: r[0]):
             members = list({r[1]: r for r in group}.values())
             if len(members) < 2:
                 continue
             cids, n, label = (np.array([m[k] for m in members], np.int64) for k in (1, 2, 4))
-            sigs = np.frombuffer(b"".join(m[3] for m in members), "<u4").reshape(-1, SIGNATURE)
+            sketches = np.frombuffer(b"".join(m[3] for m in members), np.uint8).reshape(-1, BINS)
             a, b, near = [], [], []
             for k in range(len(members) - 1):
-                equal = (sigs[k + 1 :] == sigs[k]).mean(1)
-                low, high = np.minimum(n[k], n[k + 1 :]), np.maximum(n[k], n[k + 1 :])
-                found = np.flatnonzero((equal >= LIKELY) & (4 * low >= 3 * high) & (label[k + 1 :] != label[k]))
+                apart = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+                estimate, good = likely(sketches[k], n[k], sketches[apart], n[apart])
+                found, estimate = apart[good], estimate[good]
                 a.append(np.full(len(found), k))
-                b.append(found + k + 1)
-                near.append(equal[found])
+                b.append(found)
+                near.append(estimate)
             a, b, near = (np.concatenate(x) for x in (a, b, near))
             if not everything:
                 a, b = _forest(a, b, near, len(members))
@@ -234,7 +255,7 @@ def _compared(sets: DataFrame, classes: DataFrame, labels: DataFrame | None) ->
                 x, y = cids[a], cids[b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    dealt = rows.select("key", "cid", "n", "sig", "label").repartition("key").sortWithinPartitions("key", "cid")
+    dealt = rows.select("key", "cid", "n", "sketch", "label").repartition("key").sortWithinPartitions("key", "cid")
     return map_batches(dealt, work, "a bigint, b bigint").distinct()
 
 
@@ -261,11 +282,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text_col:
     """Saved links: the pairs that are similar on their full sets, taken anew from whole texts."""
     met = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "fp", "low"), "cid")
     met = saved(met, "neardup-met")
-    wanted = met.select(F.col("low").alias("wanted")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    # a bitmap of the ids' hashes leaves most other texts out, so that none is shuffled; which set is wanted, the join says
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    bits = np.zeros(SLOTS, np.uint8)
+    for r in met.select(slot("low").alias("s")).distinct().toLocalIterator():
+        bits[r.s] = 1
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    texts = docs.select(slot(F.col(id_col).cast("long")).alias("slot"), F.col(text_col).cast("string").alias("text"))
 
     def work(batches):
+        wanted = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
+            if not batch.num_rows:
+                continue
             sets = [shingles(x).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["fp", "tokens"])
 
@@ -313,7 +343,7 @@ def link(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     """One row per document: doc_id, n_shingles, component_id, kept, fp (names its set), head (fp of the set that stands for the component)."""
     features = _features(docs, text_col, id_col)
     some = features.where("n > 0")
-    classes = some.groupBy("fp").agg(F.min("row").alias("cid"), F.min("doc_id").alias("low"), F.min(F.struct("n", "sig")).alias("s")).select("fp", "cid", "low", "s.n", "s.sig")
+    classes = some.groupBy("fp").agg(F.min("row").alias("cid"), F.min("doc_id").alias("low"), F.min(F.struct("n", "sig", "sketch")).alias("s")).select("fp", "cid", "low", "s.n", "s.sig", "s.sketch")
     classes = saved(classes, "neardup-classes")
 
     leaves, dense = _grown(classes)
