@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What a walk skips, and the kinds of extensions and folders.
-SKIPPED_FOLDERS = [".git", ".scientist", "__pycache__", "node_modules", ".ipynb_checkpoints", ".venv", "venv", "site-packages"]
+SKIPPED_FOLDERS = [".git", ".verdigris", "__pycache__", "node_modules", ".ipynb_checkpoints", ".venv", "venv", "site-packages"]
 SKIPPED_SUFFIXES = [".dist-info", ".egg-info"]
 TABULAR = [".csv", ".tsv", ".xlsx", ".xls"]
 NARRATIVE = [".md", ".txt", ".pdf", ".docx", ".pptx", ".html"]
