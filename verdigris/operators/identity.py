@@ -9,10 +9,10 @@ from verdigris.functions.text import ordinal_suffix
 
 
 def byte_groups(rows: DataFrame, content: str, key: str) -> DataFrame:
-    """Copies of one content: its hash, the first key as primary, and the others in order."""
-    hashed = rows.select(F.col(key).alias("key"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
-    groups = hashed.groupBy("sha256").agg(F.min("key").alias("primary_id"), F.count("*").alias("n_copies"), F.array_sort(F.collect_list("key")).alias("members"))
-    return groups.where("n_copies > 1")
+    """A row for each copy: key, the content's hash, the first key as primary_id, n_copies. A group is never held whole."""
+    hashed = rows.select(F.col(key), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
+    groups = hashed.groupBy("sha256").agg(F.min(key).alias("primary_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
+    return hashed.join(groups, "sha256")
 
 
 def first_match(candidates: DataFrame, catalog: DataFrame, keys: list[Column], key: str) -> DataFrame:

@@ -12,12 +12,11 @@ from verdigris.plans.base import query, table
 
 @query(
     "byte_identity_groups",
-    """SELECT sha256(text) AS sha256, min(doc_id) AS primary_id, count(*) AS n_copies, array_to_string(list_sort(list(doc_id)), ',') AS members
-       FROM documents GROUP BY sha256(text) HAVING count(*) > 1""",
+    """SELECT doc_id, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY text) AS primary_id, count(*) OVER (PARTITION BY text) AS n_copies
+       FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1""",
 )
 def byte_identity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = ids.byte_groups(table(spark, sf_dir, "documents"), "text", "doc_id")
-    return groups.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    return ids.byte_groups(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "sha256", "primary_id", "n_copies")
 
 
 @query(
