@@ -7,8 +7,12 @@ Choices of ours, from published work: BM25 with k1 = 1.2, b = 0.75 and idf = ln(
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 K1, B, FUSION = 1.2, 0.75, 60
 
@@ -91,3 +95,47 @@ def overlap(title: Column, content: Column, least: int = 4) -> Column:
     words = F.array_distinct(F.filter(tokens(title), lambda w: F.length(w) >= least))
     low = F.lower(content)
     return F.try_divide(F.size(F.filter(words, lambda w: F.contains(low, w))), F.size(words))
+
+
+def overlaps(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, title: str, least: int = 4, remembered: int = 200_000) -> DataFrame:
+    """``overlap`` of every item with every document: item, key, score; items without a longer word are left out.
+
+    The items are a stated query set, which every worker holds. A title's word has letters and digits
+    only, so a text contains it if one of the text's tokens does: the parts of each token are looked up
+    among the words, and what was found is remembered by token.
+    """
+    told = items.select(item, F.array_distinct(F.filter(tokens(F.col(title)), lambda w: F.length(w) >= least)).alias("own")).where(F.size("own") > 0).collect()
+    sent = docs.sparkSession.sparkContext.broadcast([(r[item], r.own) for r in told])
+    kind = to_arrow_type(items.schema[item].dataType)
+
+    def work(batches):
+        told = sent.value
+        number = {w: k for k, w in enumerate({w for _, own in told for w in own})}
+        lengths = {len(w) for w in number}
+        item_of = np.repeat(np.arange(len(told)), np.array([len(own) for _, own in told], np.int64))
+        word_of = np.array([number[w] for _, own in told for w in own], np.int64)
+        sizes, ids, seen = np.bincount(item_of, minlength=len(told)), pa.array([i for i, _ in told], kind), {}
+
+        def within(token: str) -> set[int]:
+            found = seen.get(token)
+            if found is None:
+                parts = {token[k : k + n] for n in lengths for k in range(len(token) - n + 1)}
+                found = {number[w] for w in parts & number.keys()}
+                if len(seen) < remembered:
+                    seen[token] = found
+            return found
+
+        for whole in batches:
+            step = max(1, 65_536 // max(1, len(told)))
+            for batch in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
+                scores = np.zeros((batch.num_rows, len(told)))
+                for row, spoken in zip(scores, batch.column("spoken").to_pylist(), strict=True):
+                    has = np.zeros(len(number), bool)
+                    has[list(set().union(*map(within, spoken.split(" "))))] = True
+                    row[:] = np.bincount(item_of[has[word_of]], minlength=len(told)) / sizes
+                of_doc = pa.array(np.repeat(np.arange(batch.num_rows), len(told)))
+                of_item = pa.array(np.tile(np.arange(len(told)), batch.num_rows))
+                yield pa.RecordBatch.from_arrays([ids.take(of_item), batch.column(key).take(of_doc), pa.array(scores.ravel())], [item, key, "score"])
+
+    spoken = docs.select(key, F.array_join(F.array_distinct(tokens(F.col(text))), " ").alias("spoken"))
+    return spoken.mapInArrow(work, T.StructType([items.schema[item], docs.schema[key], T.StructField("score", T.DoubleType())]))

@@ -98,9 +98,7 @@ _OVERLAP = """t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_ar
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"), (F.col("item_id") % 10).alias("k"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 10).alias("k"))
-    return docs.join(items, "k").withColumn("score", rt.overlap(F.col("title"), F.col("text"))).where("score is not null")
+    return rt.overlaps(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark").withColumnRenamed("text", "title"), "item_id", "title")
 
 
 @query("title_overlap", f"WITH {_OVERLAP} SELECT item_id, doc_id, floor(hit / n * 1000000 + 0.5)::BIGINT AS score FROM p WHERE hit / n >= 0.3")
