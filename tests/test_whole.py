@@ -34,3 +34,11 @@ def test_verify_first(spark, shares):
         of = {d: s for (i, d), s in shares.items() if i == item}
         want.append((item, min((d for d, s in of.items() if s >= 0.34), default=None), max(of, key=lambda d: (of[d], -d))))
     assert sorted(rows(spark, "verify_first")) == sorted(want)
+
+
+def test_chunk_counts(spark):
+    want = []
+    for d in read(spark, "documents"):
+        n = sum(-(-len(p) // 2000) for p in re.split(r"\n\s*\n", d.text, flags=re.ASCII) if p.strip(" "))
+        want += [(d.doc_id, n)] if n else []
+    assert sorted(rows(spark, "chunk_counts")) == sorted(want)

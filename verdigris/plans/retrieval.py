@@ -89,8 +89,7 @@ def leading_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunk_counts", r"""SELECT doc_id AS document, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: trim(p) <> ''))::BIGINT AS n_paragraphs FROM documents WHERE length(text) < 1000 AND trim(text) <> ''""")
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where((F.length("text") < 1000) & (F.trim("text") != ""))
-    return rt.chunked(docs, "doc_id", "text", 1000).groupBy("document").agg(F.count("*").alias("n_paragraphs"))
+    return rt.chunked(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("document").agg(F.count("*").alias("n_paragraphs"))
 
 
 _OVERLAP = """t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 4)) AS words FROM benchmark),
