@@ -42,3 +42,20 @@ def test_chunk_counts(spark):
         n = sum(-(-len(p) // 2000) for p in re.split(r"\n\s*\n", d.text, flags=re.ASCII) if p.strip(" "))
         want += [(d.doc_id, n)] if n else []
     assert sorted(rows(spark, "chunk_counts")) == sorted(want)
+
+
+def test_recursive_closure(spark):
+    key = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(key, "1000")  # fewer than the closure's rows
+    try:
+        got = rows(spark, "lineage_closure_recursive")
+    finally:
+        spark.conf.unset(key)
+    customers = {c.c_custkey: c.c_nationkey for c in read(spark, "customer")}
+    nations = {n.n_nationkey: n.n_regionkey for n in read(spark, "nation")}
+    want = []
+    for o in read(spark, "orders"):
+        nation = customers[o.o_custkey]
+        chain = [f"o{o.o_orderkey}", f"c{o.o_custkey}", f"n{nation}", f"r{nations[nation]}"]
+        want += [(chain[0], node, depth) for depth, node in enumerate(chain)]
+    assert sorted(got) == sorted(want)

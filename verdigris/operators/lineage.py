@@ -39,7 +39,11 @@ def closure(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame
 
 
 def closure_sql(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """The same for trees of at most 100 levels, as one recursive query."""
+    """The same for trees of at most 100 levels, as one recursive query; a deeper one is an error.
+
+    Spark's limit of rows is lifted for the session: the levels bound the walk, and rows grow with the roots.
+    """
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     edges.createOrReplaceTempView("_lineage_edges")
     roots.createOrReplaceTempView("_lineage_roots")
     return spark.sql(

@@ -98,7 +98,7 @@ def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lineage_closure_recursive", _WALK + " SELECT root, node, min(depth)::INTEGER AS depth FROM walk WHERE root LIKE 'o1%' GROUP BY root, node")
 def lineage_closure_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ln.closure_sql(spark, _edges(spark, sf_dir), _roots(spark, sf_dir).where("node like 'o1%'"))
+    return ln.closure_sql(spark, _edges(spark, sf_dir), _roots(spark, sf_dir))
 
 
 _NODES = f"""nodes AS (SELECT node, hash % 1000 <> 0 AND NOT node IN ('n3', 'c17') AS present, node LIKE 'r%' AND node <> 'r2' AS raw, node LIKE 'c%5' AS drifted
