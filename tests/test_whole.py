@@ -59,3 +59,8 @@ def test_recursive_closure(spark):
         chain = [f"o{o.o_orderkey}", f"c{o.o_custkey}", f"n{nation}", f"r{nations[nation]}"]
         want += [(chain[0], node, depth) for depth, node in enumerate(chain)]
     assert sorted(got) == sorted(want)
+
+
+def test_metadata_search(spark):
+    want = [(d.doc_id,) for d in read(spark, "documents") if d.lang == "de" and "ung" in f"{d.source} {d.lang} {d.text}".lower()]
+    assert sorted(rows(spark, "metadata_search")) == sorted(want)

@@ -74,7 +74,7 @@ def multi_term_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT doc_id FROM documents WHERE lang = 'de' AND contains(lower(concat_ws(' ', source, lang, substr(text, 1, 200))), 'ung')""",
 )
 def metadata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hay = F.lower(F.concat_ws(" ", "source", "lang", F.substring("text", 1, 200)))
+    hay = F.lower(F.concat_ws(" ", "source", "lang", "text"))
     return table(spark, sf_dir, "documents").where(fn.matches_filter(F.col("lang"), "de") & F.contains(hay, F.lit("ung"))).select("doc_id")
 
 
