@@ -1,6 +1,8 @@
 """Queries that once left a part of their input out, held against brute force over all of it."""
 
 import re
+import unicodedata
+from collections import defaultdict
 
 import __spark_entry__
 import pytest
@@ -64,3 +66,30 @@ def test_recursive_closure(spark):
 def test_metadata_search(spark):
     want = [(d.doc_id,) for d in read(spark, "documents") if d.lang == "de" and "ung" in f"{d.source} {d.lang} {d.text}".lower()]
     assert sorted(rows(spark, "metadata_search")) == sorted(want)
+
+
+def keys(doc):
+    folded = unicodedata.normalize("NFKD", doc.text).encode("ascii", "ignore").decode().lower()
+    return doc.text, (re.sub("[^a-z0-9 ]+", "", folded).strip(" "), doc.lang)
+
+
+def test_duplicate_clusters(spark):
+    groups = defaultdict(list)
+    for d in read(spark, "documents"):
+        for by, key in enumerate(keys(d), 1):
+            groups[by, key].append(d.doc_id)
+    want = {}
+    for (by, _), ids in sorted(groups.items(), key=lambda g: g[0][0]):
+        if len(ids) > 1:
+            want.setdefault(",".join(map(str, sorted(ids))), (by, len(ids)))
+    assert sorted(rows(spark, "duplicate_clusters")) == sorted((m, by, n) for m, (by, n) in want.items())
+
+
+def test_priority_match(spark):
+    docs, first = read(spark, "documents"), {}
+    for d in docs:
+        if d.doc_id % 5:
+            for by, key in enumerate(keys(d), 1):
+                first[by, key] = min(d.doc_id, first.get((by, key), d.doc_id))
+    found = [(d.doc_id, [(first[k], k[0]) for k in enumerate(keys(d), 1) if k in first]) for d in docs if d.doc_id % 5 == 0]
+    assert sorted(rows(spark, "priority_match")) == sorted((c, *m[0]) for c, m in found if m)

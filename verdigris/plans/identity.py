@@ -19,6 +19,12 @@ def byte_identity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.byte_groups(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "sha256", "primary_id", "n_copies")
 
 
+def _title() -> F.Column:
+    """The tables have no titles: the whole normalised text stands for one, hashed, with its language; none if nothing remains of it."""
+    title = F.nullif(fn.norm_title(F.col("text")), F.lit(""))
+    return F.concat(F.sha2(title.cast("binary"), 256), F.lit("|"), "lang")
+
+
 @query(
     "duplicate_clusters",
     """WITH k AS (SELECT doc_id, 1 AS "by", sha256(text) AS v FROM documents UNION ALL
@@ -27,8 +33,7 @@ def byte_identity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT members, min("by")::INTEGER AS "by", max(n)::BIGINT AS n FROM g GROUP BY members""",
 )
 def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 40)), "[^a-z0-9 ]+", ""))
-    groups = ids.clusters(table(spark, sf_dir, "documents"), [F.sha2(F.col("text").cast("binary"), 256), F.concat(title, F.lit("|"), "lang")], "doc_id")
+    groups = ids.clusters(table(spark, sf_dir, "documents"), [F.sha2(F.col("text").cast("binary"), 256), _title()], "doc_id")
     return groups.select(F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "by", F.size("members").cast("long").alias("n"))
 
 
@@ -41,7 +46,7 @@ def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def priority_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    keys = [F.sha2(F.col("text").cast("binary"), 256), F.concat(F.lower(F.substring("text", 1, 30)), F.lit("|"), "lang")]
+    keys = [F.sha2(F.col("text").cast("binary"), 256), _title()]
     return ids.first_match(docs.where("doc_id % 5 = 0"), docs.where("doc_id % 5 <> 0"), keys, "doc_id")
 
 
