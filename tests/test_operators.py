@@ -43,10 +43,11 @@ def test_identifiers(spark, said, kind, value):
 
 
 def test_folders_claims_and_status(spark):
-    assert tuple(column(spark, fn.experiment_of(F.col("d")), d="K1-000000 - Rat IT Dose-Response (V1234567)")) == ("K1-000000", "Rat IT Dose-Response (V1234567)", "V1234567")
+    assert tuple(column(spark, fn.experiment_of(F.col("d")), d="EXP-04 - Rat IT Dose-Response (V1234567)")) == ("EXP-04", "Rat IT Dose-Response (V1234567)", "V1234567")
+    assert column(spark, fn.experiment_of(F.col("d"), "Q"), d="Q7: Assay")[:2] == ("Q7", "Assay")
     assert column(spark, fn.experiment_of(F.col("d")), d="notes") is None
-    for prefix in ("/abs/K1-000000 - Dose/analysis/claims/", "/other/"):
-        assert column(spark, fn.claim_id(F.lit("K1-000000"), F.col("n")), n=prefix + "test_kd.py::test_pos_ctrl_strong") == "K1-000000::test_kd.py::test_pos_ctrl_strong"
+    for prefix in ("/abs/EXP-04 - Dose/analysis/claims/", "/other/"):
+        assert column(spark, fn.claim_id(F.lit("EXP-04"), F.col("n")), n=prefix + "test_kd.py::test_pos_ctrl_strong") == "EXP-04::test_kd.py::test_pos_ctrl_strong"
     assert column(spark, fn.status_of(F.col("s")), s=" Completed") == "complete" and column(spark, fn.status_of(F.col("s")), s="odd") is None
 
 

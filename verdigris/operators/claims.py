@@ -48,19 +48,24 @@ def drift(history: DataFrame, key: str, at: str, value: str) -> DataFrame:
 
 
 def unfenced(text: Column) -> Column:
-    """array of struct(line, text) of the lines outside fenced code, numbered from 1; a fence closes with the mark that opened it."""
+    """array of struct(line, text) of the lines outside fenced code, numbered from 1; a fence closes with the mark that opened it.
+
+    One pass over the lines keeps the open mark and notes a run of lines whenever a fence opens; the
+    runs are cut out at the end.
+    """
     lines = F.split(text, "\r\n|\r|\n", -1)
-    start = F.struct(F.lit("").alias("fence"), F.lit(0).alias("line"), F.expr("cast(array() as array<struct<line:int,text:string>>)").alias("out"))
+    start = F.struct(F.lit("").alias("fence"), F.lit(0).alias("line"), F.lit(1).alias("begin"), F.expr("cast(array() as array<struct<begin:int,size:int>>)").alias("runs"))
+    noted = lambda acc, end: F.concat(acc["runs"], F.array(F.struct(acc["begin"].alias("begin"), (end - acc["begin"]).alias("size"))))
 
     def step(acc: Column, raw: Column) -> Column:
         mark = F.regexp_extract(raw, r"^\s*(```|~~~)", 1)
-        inside = acc["fence"] != ""
-        fence = F.when(mark == "", acc["fence"]).when(~inside, mark).when(mark == acc["fence"], F.lit("")).otherwise(acc["fence"])
         n = acc["line"] + 1
-        out = F.when((mark == "") & ~inside, F.concat(acc["out"], F.array(F.struct(n.alias("line"), raw.alias("text"))))).otherwise(acc["out"])
-        return F.struct(fence.alias("fence"), n.alias("line"), out.alias("out"))
+        opens, closes = (acc["fence"] == "") & (mark != ""), (acc["fence"] != "") & (mark == acc["fence"])
+        fence = F.when(opens, mark).when(closes, F.lit("")).otherwise(acc["fence"])
+        return F.struct(fence.alias("fence"), n.alias("line"), F.when(closes, n + 1).otherwise(acc["begin"]).alias("begin"), F.when(opens & (n > acc["begin"]), noted(acc, n)).otherwise(acc["runs"]).alias("runs"))
 
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+    runs = F.aggregate(lines, start, step, lambda acc: F.when((acc["fence"] == "") & (acc["line"] >= acc["begin"]), noted(acc, acc["line"] + 1)).otherwise(acc["runs"]))
+    return F.flatten(F.transform(runs, lambda run: F.transform(F.slice(lines, run["begin"], run["size"]), lambda raw, k: F.struct((run["begin"] + k).alias("line"), raw.alias("text")))))
 
 
 def references(reports: DataFrame, report: str, text: str, pattern: str) -> DataFrame:

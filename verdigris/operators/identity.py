@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import ordinal_suffix
+from verdigris.sources.kept import kept_table
 
 
 def byte_groups(rows: DataFrame, content: str, key: str) -> DataFrame:
@@ -34,29 +35,48 @@ def first_match(candidates: DataFrame, catalog: DataFrame, keys: list[Column], k
 
 
 def clusters(rows: DataFrame, keys: list[Column], key: str) -> DataFrame:
-    """Groups with more than one member by any key; of equal member sets the first key's stays: members, by."""
+    """Groups with more than one member by any key; of groups with equal members the first key's stays.
+
+    A row for each member: cluster (the smallest member), by (which key), member, n. A group is known
+    by its size, its extremes and sums of two hashes of its members, so none is ever held whole.
+    """
     parts = F.array(*[F.struct(F.lit(k).alias("by"), x.cast("string").alias("value")) for k, x in enumerate(keys, 1)])
-    keyed = rows.select(F.col(key).alias("member"), F.explode(parts).alias("k")).select("member", "k.by", "k.value").where("value is not null and value <> ''")
-    groups = keyed.groupBy("by", "value").agg(F.array_sort(F.collect_set("member")).alias("members")).where(F.size("members") > 1)
-    return groups.groupBy("members").agg(F.min("by").cast("int").alias("by"))
+    keyed = rows.select(F.col(key).alias("member"), F.explode(parts).alias("k")).select("member", "k.by", "k.value").where("value is not null and value <> ''").distinct()
+    sums = [F.sum(F.xxhash64("member", F.lit(salt)).cast("decimal(38,0)")).alias(f"s{salt}") for salt in (1, 2)]
+    groups = keyed.groupBy("by", "value").agg(F.count("*").alias("n"), F.min("member").alias("cluster"), F.max("member").alias("last"), *sums).where("n > 1")
+    chosen = groups.groupBy("n", "cluster", "last", "s1", "s2").agg(F.min(F.struct("by", "value")).alias("g")).select("cluster", "n", "g.by", "g.value")
+    return keyed.join(chosen, ["by", "value"]).select("cluster", F.col("by").cast("int").alias("by"), "member", "n")
+
+
+def numbered(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """Rows with their number (from 1) among those of the same ``by``, in the given order.
+
+    Rows are dealt over ranges of (by, order), so that one value with a third of all rows fills many
+    tasks; a range's numbers are lifted by the counts of the ranges before it.
+    """
+    ranged = kept_table(rows.repartitionByRange(F.col(by).asc_nulls_first(), *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    inside = Window.partitionBy(by, "_range").orderBy(*order)
+    before = Window.partitionBy("_by").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a value
+    bases = ranged.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    met = F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r"))
+    return ranged.withColumn("_place", F.row_number().over(inside)).join(bases, met).withColumn(name, F.col("_base") + F.col("_place")).drop("_range", "_by", "_r", "_n", "_base", "_place")
 
 
 def citekeys(rows: DataFrame, base: Column, order: list[str]) -> DataFrame:
     """Rows with the base and a unique citekey: holders of one base are numbered in the given order."""
-    holders = Window.partitionBy("citekey_base").orderBy(*order)
-    numbered = rows.withColumn("citekey_base", base).withColumn("holder", F.row_number().over(holders))
-    return numbered.withColumn("citekey", F.concat("citekey_base", ordinal_suffix(F.col("holder")))).drop("holder")
+    held = numbered(rows.withColumn("citekey_base", base), "citekey_base", order, "holder")
+    return held.withColumn("citekey", F.concat("citekey_base", ordinal_suffix(F.col("holder")))).drop("holder")
 
 
-def primary_paths(files: DataFrame, sha: str = "sha256", path: str = "path") -> DataFrame:
-    """One record for each content: the first path in order is primary, the rest are other_paths."""
-    groups = files.groupBy(sha).agg(F.array_sort(F.collect_set(path)).alias("paths"))
-    return groups.select(sha, F.col("paths")[0].alias(path), F.slice("paths", 2, F.greatest(F.size("paths") - 1, F.lit(0))).alias("other_paths"))
+def primary_paths(files: DataFrame, sha: str = "sha256", path: str = "path", order: str | None = None) -> DataFrame:
+    """A row for each path of each content: sha, path, primary_path, is_primary. The one that came first (by order, else by path) is primary."""
+    named = files.groupBy(sha, path).agg(F.min(order or path).alias("_at"))
+    first = named.groupBy(sha).agg(F.min(F.struct("_at", F.col(path).alias("primary_path"))).alias("f")).select(sha, "f.primary_path")
+    return named.join(first, sha).select(sha, path, "primary_path", (F.col(path) == F.col("primary_path")).alias("is_primary"))
 
 
 def planned_paths(rows: DataFrame, path: str, citekey: str) -> DataFrame:
     """Paths made unique: the plain one, then with the citekey, then with a number."""
-    at = F.row_number().over(Window.partitionBy(path).orderBy(citekey))
     stem, dot = F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"(\.[^./]*)$", 1)
     tag = F.when(F.col("at") == 1, "").when(F.col("at") == 2, F.concat(F.lit(" ("), F.col(citekey), F.lit(")"))).otherwise(F.concat(F.lit(" ("), (F.col("at") - 1).cast("string"), F.lit(")")))
-    return rows.withColumn("at", at).withColumn("planned", F.concat(stem, tag, dot)).drop("at")
+    return numbered(rows, path, [citekey], "at").withColumn("planned", F.concat(stem, tag, dot)).drop("at")

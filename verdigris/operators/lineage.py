@@ -7,33 +7,33 @@ written to the shared folder each round, so plans stay short.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    at = f"{base.rstrip('/')}/lineage-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+from verdigris.sources.kept import kept_table
 
 
-def closure(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): every node that a root reaches, at its least depth; the root itself at 0."""
-    edges = _kept(edges.select("child", "parent").distinct())
+    edges = kept_table(edges.select("child", "parent").distinct(), "lineage")
     front = roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0))
-    seen = front = _kept(front)
-    for depth in range(1, most + 1):
+    seen = front = kept_table(front, "lineage")
+    depth = 0
+    while front.take(1):  # pairs are finite and none comes twice
+        depth += 1
         step = front.join(edges, front.node == edges.child).select("root", F.col("parent").alias("node")).distinct()
-        front = _kept(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if not front.take(1):
-            break
+        front = kept_table(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "lineage")
+        seen = seen.unionByName(front)
+    return seen
+
+
+def reaching(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """(node): every node from which one of the goals is reached, these included: one row a node, whatever the paths."""
+    edges = kept_table(edges.select("child", "parent").distinct(), "lineage")
+    seen = front = kept_table(goals.select("node").distinct(), "lineage")
+    while front.take(1):
+        step = front.join(edges, front.node == edges.parent).select(F.col("child").alias("node")).distinct()
+        front = kept_table(step.join(seen, "node", "left_anti"), "lineage")
         seen = seen.unionByName(front)
     return seen
 
@@ -58,18 +58,21 @@ def trace(edges: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """Breaks on the way from each root: root, node, kind.
 
     nodes: node, present, raw, drifted. A node that is not there is missing, one whose content is not
-    as recorded is drifted, and one that is neither raw nor made from anything is unsourced.
+    as recorded is drifted, and one that is neither raw nor made from anything is unsourced. Only broken
+    nodes are walked from, towards the roots: sound chains cost nothing.
     """
-    made = edges.select(F.col("child").alias("node")).distinct().withColumn("made", F.lit(True))
-    walked = closure(edges, roots).join(nodes, "node", "left").join(made, "node", "left")
-    kind = F.when(~F.coalesce("present", F.lit(False)), "missing").when(F.col("drifted"), "drifted").when(F.col("made").isNull() & ~F.coalesce("raw", F.lit(False)), "unsourced")
-    return walked.select("root", "node", kind.alias("kind")).where("kind is not null")
+    known = edges.select(F.col("child").alias("node")).withColumn("made", F.lit(True)).union(edges.select("parent", F.lit(False))).union(roots.select("node", F.lit(False))).groupBy("node").agg(F.bool_or("made").alias("made"))
+    kind = F.when(~F.coalesce("present", F.lit(False)), "missing").when(F.col("drifted"), "drifted").when(~F.col("made") & ~F.coalesce("raw", F.lit(False)), "unsourced")
+    broken = kept_table(known.join(nodes, "node", "left").select("node", kind.alias("kind")).where("kind is not null"), "lineage")
+    walked = closure(edges.select(F.col("parent").alias("child"), F.col("child").alias("parent")), broken)
+    met = walked.select(F.col("root").alias("broken"), F.col("node").alias("root")).join(roots.select(F.col("node").alias("root")).distinct(), "root")
+    return met.join(broken.withColumnRenamed("node", "broken"), "broken").select("root", F.col("broken").alias("node"), "kind")
 
 
-def verdicts(roots: DataFrame, breaks: DataFrame, reached: DataFrame) -> DataFrame:
-    """For each root: breaks, status (any break: BROKEN), reaches_raw and the stricter status_strict."""
+def verdicts(roots: DataFrame, breaks: DataFrame, sound: DataFrame) -> DataFrame:
+    """For each root: breaks, status (any break: BROKEN), reaches_raw and the stricter status_strict. sound: nodes that reach raw."""
     n = breaks.groupBy("root").agg(F.count("*").alias("n_breaks"))
-    raw = reached.where("raw").select("root").distinct().withColumn("reaches_raw", F.lit(True))
+    raw = sound.select(F.col("node").alias("root")).distinct().withColumn("reaches_raw", F.lit(True))
     joined = roots.select(F.col("node").alias("root")).distinct().join(n, "root", "left").join(raw, "root", "left")
     n_breaks, reaches = F.coalesce("n_breaks", F.lit(0).cast("long")), F.coalesce("reaches_raw", F.lit(False))
     return joined.select("root", n_breaks.alias("n_breaks"), F.when(n_breaks > 0, "BROKEN").otherwise("GROUNDED").alias("status"), reaches.alias("reaches_raw"), F.when((n_breaks > 0) | ~reaches, "BROKEN").otherwise("GROUNDED").alias("status_strict"))

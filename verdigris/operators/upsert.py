@@ -25,9 +25,11 @@ def filled(old: DataFrame, new: DataFrame, key: list[str], fill: list[str], unio
 
 
 def pruned(rows: DataFrame, keep: DataFrame, key: str, scope: str, scopes: DataFrame) -> DataFrame:
-    """Rows without those that are in one of the scopes but not kept."""
-    gone = rows.join(scopes.select(scope).distinct(), scope, "left_semi").join(keep.select(key).distinct(), key, "left_anti").select(key).distinct()
-    return rows.join(gone, key, "left_anti")
+    """Rows without those that are in one of the scopes and whose key is not kept in that scope; the key's rows elsewhere stay."""
+    closed = scopes.select(scope).distinct().withColumn("_in", F.lit(True))
+    alive = keep.select(scope, key).distinct().withColumn("_kept", F.lit(True))
+    marked = rows.join(closed, scope, "left").join(alive, [scope, key], "left")
+    return marked.where("_in is null or _kept").select(*rows.columns)
 
 
 def edited_tags(tags: Column, add: Column, remove: Column) -> Column:

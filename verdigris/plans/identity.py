@@ -25,22 +25,25 @@ def _title() -> F.Column:
     return F.concat(F.sha2(title.cast("binary"), 256), F.lit("|"), "lang")
 
 
+#: The same in SQL: accents go as they do in the compatibility decomposition, and so does what is not ASCII.
+_KEYS = """k AS (SELECT doc_id, 1 AS p, sha256(text) AS v FROM documents UNION ALL
+  SELECT doc_id, 2, sha256(nullif(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9 ]+', '', 'g'), ' '), '')) || '|' || lang FROM documents)"""
+
+
 @query(
     "duplicate_clusters",
-    """WITH k AS (SELECT doc_id, 1 AS "by", sha256(text) AS v FROM documents UNION ALL
-                 SELECT doc_id, 2, trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9 ]+', '', 'g')) || '|' || lang FROM documents),
-       g AS (SELECT "by", v, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS members, count(DISTINCT doc_id) AS n FROM k GROUP BY "by", v HAVING count(DISTINCT doc_id) > 1)
-       SELECT members, min("by")::INTEGER AS "by", max(n)::BIGINT AS n FROM g GROUP BY members""",
+    f"""WITH {_KEYS}, g AS (SELECT p, v, list_sort(list(DISTINCT doc_id)) AS members FROM k WHERE v IS NOT NULL GROUP BY p, v HAVING count(DISTINCT doc_id) > 1),
+       c AS (SELECT members, min(p)::INTEGER AS p FROM g GROUP BY members)
+       SELECT members[1] AS cluster, p AS "by", unnest(members) AS member, len(members)::BIGINT AS n FROM c""",
 )
 def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = ids.clusters(table(spark, sf_dir, "documents"), [F.sha2(F.col("text").cast("binary"), 256), _title()], "doc_id")
-    return groups.select(F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "by", F.size("members").cast("long").alias("n"))
+    return ids.clusters(table(spark, sf_dir, "documents"), [F.sha2(F.col("text").cast("binary"), 256), _title()], "doc_id")
 
 
 @query(
     "priority_match",
-    """WITH k AS (SELECT doc_id, 1 AS p, sha256(text) AS v FROM documents UNION ALL SELECT doc_id, 2, lower(substr(text, 1, 30)) || '|' || lang FROM documents),
-       c AS (SELECT p, v, min(doc_id) AS m FROM k WHERE doc_id % 5 <> 0 GROUP BY p, v),
+    f"""WITH {_KEYS},
+       c AS (SELECT p, v, min(doc_id) AS m FROM k WHERE doc_id % 5 <> 0 AND v IS NOT NULL GROUP BY p, v),
        f AS (SELECT k.doc_id AS candidate, m, k.p, row_number() OVER (PARTITION BY k.doc_id ORDER BY k.p) AS r FROM k JOIN c ON k.p = c.p AND k.v = c.v WHERE k.doc_id % 5 = 0)
        SELECT candidate, m AS match, p::INTEGER AS priority FROM f WHERE r = 1""",
 )
@@ -132,8 +135,8 @@ def path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "primary_paths",
     """WITH f AS (SELECT sha256(text) AS sha256, source || '/' || doc_id AS path FROM documents)
-       SELECT sha256, min(path) AS path, array_to_string(list_sort(list(path))[2:], ',') AS other_paths FROM f GROUP BY sha256""",
+       SELECT sha256, path, min(path) OVER (PARTITION BY sha256) AS primary_path, path = min(path) OVER (PARTITION BY sha256) AS is_primary FROM f""",
 )
 def primary_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
-    return ids.primary_paths(files).withColumn("other_paths", F.array_join("other_paths", ","))
+    return ids.primary_paths(files)

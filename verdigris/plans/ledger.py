@@ -96,7 +96,7 @@ def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.closure(_edges(spark, sf_dir), _roots(spark, sf_dir))
 
 
-@query("lineage_closure_recursive", _WALK + " SELECT root, node, min(depth)::INTEGER AS depth FROM walk WHERE root LIKE 'o1%' GROUP BY root, node")
+@query("lineage_closure_recursive", _WALK + " SELECT root, node, min(depth)::INTEGER AS depth FROM walk GROUP BY root, node")
 def lineage_closure_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.closure_sql(spark, _edges(spark, sf_dir), _roots(spark, sf_dir))
 
@@ -127,5 +127,4 @@ def trace_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def report_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, roots, nodes = _edges(spark, sf_dir), _roots(spark, sf_dir), _nodes(spark, sf_dir)
-    reached = ln.closure(edges, roots).join(nodes.select("node", "raw"), "node")
-    return ln.verdicts(roots, ln.trace(edges, roots, nodes), reached)
+    return ln.verdicts(roots, ln.trace(edges, roots, nodes), ln.reaching(edges, nodes.where("raw")))

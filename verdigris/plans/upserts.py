@@ -54,12 +54,12 @@ def redundant_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT doc_id AS subject, unnest(list_filter([CASE WHEN length(text) < 200 THEN 'short' END, CASE WHEN n_chars <> length(text) THEN 'size-differs' END, CASE WHEN copies > 1 THEN 'copied' END, CASE WHEN lang = 'en' AND NOT contains(text, 'the') THEN 'no-stop-word' END], lambda x: x IS NOT NULL)) AS flag FROM d""",
 )
 def structural_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    sha = F.sha2(F.col("text").cast("binary"), 256)
-    copied = docs.groupBy(sha.alias("sha")).agg(F.count("*").alias("copies")).where("copies > 1")
-    joined = docs.withColumn("sha", sha).join(copied, "sha", "left")
-    rules = {"short": F.length("text") < 200, "size-differs": F.col("n_chars") != F.length("text"), "copied": F.col("copies").isNotNull(), "no-stop-word": (F.col("lang") == "en") & ~F.contains("text", F.lit("the"))}
-    return checks.flags(joined, "doc_id", rules)
+    """What a text shows is told in the scan, so hashes and flags meet their copies, texts do not."""
+    told = {"short": F.length("text") < 200, "size-differs": F.col("n_chars") != F.length("text"), "no-stop-word": (F.col("lang") == "en") & ~F.contains("text", F.lit("the"))}
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), *[rule.alias(name) for name, rule in told.items()])
+    copied = docs.groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1")
+    rules = {name: F.col(f"`{name}`") for name in told} | {"copied": F.col("copies").isNotNull()}
+    return checks.flags(docs.join(copied, "sha", "left"), "doc_id", rules)
 
 
 @query("integrity_orphans", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
