@@ -86,7 +86,7 @@ def report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT report, 0 AS section, line, 'Order ' || regexp_extract(ref, '([0-9]+)$', 1) || ' holds [^claim-' || number || '], see ![fig](analysis/o' || regexp_extract(ref, '([0-9]+)$', 1) || '.csv)' AS text FROM c WHERE ref <> 'no such claim'
        UNION ALL SELECT report, 0, line, '[^claim-' || number || '] ![far](https://example.org/a.png)' FROM c WHERE ref = 'no such claim'
        UNION ALL SELECT report, 1, number::INTEGER, '[^claim-' || number || ']: ' || CASE WHEN verdict = 'missing' THEN 'claim `' || ref || '` (unresolved)' ELSE '**' || claim_id || '** — ' || statement || ' _[' || outcome || ' · ' || strength || ']_' END
-         FROM c LEFT JOIN claims ON ref = claim_id OR ref = string_split(claim_id, '::')[-1]""",
+         FROM c LEFT JOIN claims ON try_cast(regexp_extract(ref, '([0-9]+)$', 1) AS BIGINT) = k AND cust = report AND ref NOT LIKE 'x%'""",
 )
 def report_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the frame of each report: its title, heading, fence and what is hidden there."""
