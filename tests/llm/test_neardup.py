@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from verdigris.llm import neardup, registry
@@ -43,6 +44,35 @@ def told(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in neardup.link(df).collect()), key=repr)
 
 
+def test_links_are_counted_exactly():
+    """A forest over sets whose components are known by counting every pair."""
+    rng = random.Random(2)
+    for gathered in (neardup.GATHERED, 50):
+        neardup_gathered, neardup.GATHERED = neardup.GATHERED, gathered
+        sets = []
+        for _ in range(6):
+            core = [rng.getrandbits(64) for _ in range(rng.choice((20, 90)))]
+            for _ in range(8):
+                own = core[rng.randrange(3) :] + [rng.getrandbits(64) for _ in range(rng.randrange(len(core) // 3))]
+                sets.append(np.unique(np.array(own, np.uint64)))
+        plain = [set(s.tolist()) for s in sets]
+        want, got = (list(range(len(sets))) for _ in range(2))
+
+        def join(labels, a, b):
+            labels[:] = [labels[a] if x == labels[b] else x for x in labels]
+
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(plain[a] & plain[b]) >= 75 * len(plain[a] | plain[b]):
+                    join(want, a, b)
+        links = neardup.forest(sets, np.arange(len(sets)))
+        for a, b in links:
+            join(got, a, b)
+        neardup.GATHERED = neardup_gathered
+        parts = lambda labels: {frozenset(k for k, x in enumerate(labels) if x == y) for y in labels}
+        assert parts(got) == parts(want) and len(links) == len(sets) - len(set(want))
+
+
 def test_documents(spark):
     docs = registry.documents(spark, "/root/testdata/sf0.01")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
@@ -51,7 +81,7 @@ def test_documents(spark):
 
 def test_groups_passages_and_odd_rows(spark, monkeypatch):
     """Small limits, so that nodes branch, are dense, and leave classes over."""
-    for name, value in (("LEAF", 12), ("CHUNK", 6), ("CENTRAL", 3)):
+    for name, value in (("LEAF", 12), ("CHUNK", 6), ("CENTRAL", 3), ("TASK_TOKENS", 1000)):
         monkeypatch.setattr(neardup, name, value)
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(3000)]
@@ -74,6 +104,43 @@ def test_groups_passages_and_odd_rows(spark, monkeypatch):
     assert told(df) == brute_force(rows)
 
 
+def test_recall_in_a_group_larger_than_a_leaf(spark):
+    """The real constants: near copies of one text fill every tree's nodes beyond LEAF; every link is counted by brute force."""
+    rng, size = np.random.default_rng(11), neardup.LEAF + 500
+    base = rng.integers(0, 1 << 30, 70)
+    rows = []
+    for k in range(size):  # a few changed words each: many pairs lie close to the threshold, on both sides
+        w = base.copy()
+        w[rng.choice(70, rng.choice((0, 1, 2, 3)), replace=False)] = rng.integers(0, 1 << 30)
+        rows.append((k, " ".join(map(str, w.tolist() + [k % 3000]))))
+    sets = [neardup.shingles(t) for _, t in rows]
+    flat, at = np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum([0, *map(len, sets)])
+    n, flag, links = np.diff(at), np.zeros(flat.max() + 1, bool), 0
+    got = {r.doc_id: r.component_id for r in neardup.link(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    found = np.array([got[k] for k in range(size)])
+    kept = 0
+    for k in range(size - 1):
+        flag[flat[at[k] : at[k + 1]]] = True
+        common = np.add.reduceat(flag[flat[at[k + 1] :]].astype(np.int64), at[k + 1 : -1] - at[k + 1])
+        flag[flat[at[k] : at[k + 1]]] = False
+        near = np.flatnonzero(100 * common >= 75 * (n[k] + n[k + 1 :] - common)) + k + 1
+        links += len(near)
+        kept += int((found[near] == found[k]).sum())
+    print(f"links {links}, inside a component {kept}")
+    assert links > 100_000 and kept >= 0.9999 * links
+
+
+def test_blocks_hold_every_pair():
+    n = np.array([3, 1, 1, 2, 5, 1, 1, 4, 2])
+    old, neardup.TASK_TOKENS = neardup.TASK_TOKENS, 4
+    try:
+        blocks = neardup._blocked(7, np.arange(9), n)
+    finally:
+        neardup.TASK_TOKENS = old
+    assert len({name for name, _ in blocks}) == len(blocks) > 3
+    assert {(a, b) for _, some in blocks for a in some.tolist() for b in some.tolist() if a < b} == {(a, b) for b in range(9) for a in range(b)}
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [(3, "the quick brown fox jumps over"), (1, "The quick brown fox jumps over"), (1, "the quick brown fox jumps over"), (2, "another text that is not like it"), (7, None), (8, ""), (2, "words of a repeated id but another text")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("label", F.lit("x")).repartition(3)

@@ -9,25 +9,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.sources.kept import shared_folder as shared_dir
+
 #: Rows and bytes of an Arrow batch for Python at most; a single row may be larger.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one is set here only where none is, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+def write_table(df: DataFrame, label: str, codec: str = "zstd") -> str:
+    """Writes a table to the shared folder; returns where."""
+    at = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(at)
+    return at
 
 
 def saved(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, label, codec))
+
+
+class Scratch:
+    """Saved tables of one computation, which go when its result has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def saved(self, df: DataFrame, label: str) -> DataFrame:
+        return self.hold((at := write_table(df, label), self.spark.read.schema(df.schema).parquet(at)))
+
+    def hold(self, made: tuple[str, DataFrame]) -> DataFrame:
+        """Takes over a table that was saved as (path, table)."""
+        at, out = made
+        self.paths[id(out)] = (at, out)  # the frame is held, so that its id stays its own
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these tables; nothing may read them any more."""
+        for table in tables:
+            at = self.paths.pop(id(table))[0]
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def clear(self) -> None:
+        self.drop(*[table for _, table in list(self.paths.values())])
 
 
 def small_batches(spark: SparkSession) -> None:
