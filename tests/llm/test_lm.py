@@ -6,6 +6,7 @@ from itertools import pairwise
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.llm import lm, registry
 
@@ -61,7 +62,7 @@ def test_every_document_against_brute_force(spark):
             n_docs += 1
     n, v = sum(c.values()) + n_docs, len(c) + 1
     model = lm.fit(lm.count_words(df.where(~held)), n_docs, lm.vocabulary_of(PIECES))
-    got = lm.score(df, df.where(~held), PIECES, heavy=300).collect()
+    got = lm.score(df, ~held, PIECES, heavy=300).collect()
     assert len(got) == len(docs)
     texts = dict(docs)
     for r in got:
@@ -81,8 +82,16 @@ def test_training_raises_the_likelihood(spark):
 
 
 def test_nothing_to_learn_or_score(spark):
-    none = spark.createDataFrame([], "doc_id bigint, text string")
     some = spark.createDataFrame([(1, "new words")], "doc_id bigint, text string")
-    assert lm.score(none, some, PIECES).count() == 0
-    r = lm.score(some, none, PIECES).first()
-    assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == 0 and r.score < 0
+    assert lm.score(some.limit(0), F.lit(True), PIECES).count() == 0
+    for flag in (F.lit(False), F.lit(None).cast("boolean")):
+        r = lm.score(some, flag, PIECES).first()
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == 0 and r.score < 0
+
+
+def test_clashing_columns_long_texts_and_repeats(spark):
+    long = " ".join(f"w{k % 50_000}" for k in range(300_000)) + " " + "y" * 200_000
+    rows = [(1, long, "c", 1, True), (1, long, "c", 1, True), (2, "w1 unseen w1", "d", 2, False)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, w string, row bigint, learn boolean")
+    got = {(r.doc_id, r.n_tokens, r.n_known, r.score) for r in lm.score(df, F.col("learn"), PIECES).collect()}
+    assert {x[:3] for x in got} == {(1, 300_002, 300_002), (2, 4, 3)} and len(got) == 2

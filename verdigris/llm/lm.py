@@ -11,12 +11,15 @@ The unigram scores of the pieces are fitted to the training texts by expectation
 forward-backward over every distinct training word, weighted by its count. Words are counted in a
 shuffle that grows with the corpus; only sums by piece (a bounded vocabulary) come to the driver.
 
-The word baseline needs the count of every word of every text. Words with at least one in HEAVY of
-all training tokens are HEAVY at most and sent to every worker; the counts of all others, none of
-which is frequent, are joined by word.
+The words of texts that are not learned from are listed with them, so that each distinct word of the
+corpus is scored once, whatever the number of workers and texts. Words with at least one in HEAVY of
+all training tokens are HEAVY at most and sent to every worker with their counts and scores; those of
+all others, none of which is frequent, are joined by word.
 
 Defined results: a null or empty text is its end token alone; a word may have any length; repeated
-rows are scored each; without training texts all counts are 0 and the pieces have equal scores.
+rows are scored each; without training texts all counts are 0 and the pieces have equal scores; a
+null flag of learning is no; columns other than the id, text and flag are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import map_batches, saved
@@ -40,8 +43,8 @@ from verdigris.llm.common import map_batches, saved
 HEAVY = 600_000
 #: Rounds of expectation maximisation, and what a piece counts besides its expectation.
 ROUNDS, PRIOR = 3, 0.01
-#: Words of a worker's table that counts, before it is passed on; marginals that a worker remembers.
-COUNTED, REMEMBERED = 200_000, 300_000
+#: Words of a worker's table that counts, before it is passed on.
+COUNTED = 200_000
 _MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.uint64(64 - 20)
@@ -203,29 +206,55 @@ class Model:
         return float((self.lattice.marginals(words_of(text)).sum() + self.log_end) / math.log(10))
 
 
-def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Saved counts by word: w binary, c bigint."""
+def count_words(docs: DataFrame, train: Column | None = None, text_col: str = "text") -> DataFrame:
+    """Saved counts by word: w binary, c bigint, 0 for words that only texts outside of train have."""
 
     def count(batches):
-        seen: Counter = Counter()
+        seen, others = Counter(), set()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+            others.difference_update(seen)
+            return pa.RecordBatch.from_arrays([pa.array([*seen, *others], pa.binary()), pa.array([*seen.values(), *[0] * len(others)], pa.int64())], ["w", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-            if len(seen) > COUNTED:
+            for text, learn in zip(batch.column("text").to_pylist(), batch.column("learn").to_pylist(), strict=True):
+                (seen if learn else others).update(words_of(text))
+            if len(seen) + len(others) > COUNTED:
                 yield out()
                 seen.clear()
-        if seen:
+                others.clear()
+        if seen or others:
             yield out()
 
-    return saved(map_batches(docs.select(text_col), count, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("c")), "words")
+    narrow = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(train if train is not None else F.lit(True), F.lit(False)).alias("learn"))
+    return saved(map_batches(narrow, count, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("c")), "words")
+
+
+def _word_batches(counts: DataFrame, work, schema: str) -> DataFrame:
+    """``mapInArrow`` over words, which are short: larger batches than texts have."""
+    spark = counts.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    return counts.mapInArrow(work, schema)
+
+
+def _scored(counts: DataFrame, model: Model) -> DataFrame:
+    """Saved: w, c, and the natural log probability p of each word."""
+    sent = counts.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches):
+        lattice = sent.value.lattice
+        for batch in batches:
+            yield batch.append_column("p", pa.array(lattice.marginals(batch.column("w").to_pylist())))
+
+    try:
+        return saved(_word_batches(counts.select("w", "c"), work, "w binary, c bigint, p double"), "word-scores")
+    finally:
+        counts.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def fit(counts: DataFrame, n_docs: int, pieces: list[str], rounds: int = ROUNDS) -> Model:
     """Scores of the pieces by expectation maximisation over all counted words."""
+    counts = counts.where("c > 0")
     sc = counts.sparkSession.sparkContext
     logs = np.full(len(pieces), -math.log(len(pieces)))
     end = -math.log(len(pieces))
@@ -239,12 +268,10 @@ def fit(counts: DataFrame, n_docs: int, pieces: list[str], rounds: int = ROUNDS)
             used = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(sums[used])], ["piece", "n"])
 
-        spark = counts.sparkSession
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # words are short
         try:
-            rows = counts.mapInArrow(expect, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+            rows = _word_batches(counts, expect, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         finally:
-            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            counts.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         use = np.full(len(pieces), PRIOR)
         for r in rows:
             use[r.piece] += r.n
@@ -253,53 +280,40 @@ def fit(counts: DataFrame, n_docs: int, pieces: list[str], rounds: int = ROUNDS)
     return Model(pieces, logs, end)
 
 
-def score(docs: DataFrame, train: DataFrame, vocabulary: str, text_col: str = "text", id_col: str = "doc_id", heavy: int = HEAVY) -> DataFrame:
-    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, train: Column, vocabulary: str, text_col: str = "text", id_col: str = "doc_id", heavy: int = HEAVY) -> DataFrame:
+    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score. train: which documents are learned from."""
     sc = docs.sparkSession.sparkContext
-    counts = count_words(train, text_col)
-    n_docs = train.count()
-    sums = counts.agg(F.sum("c"), F.count("*")).first()
+    counts = count_words(docs, train, text_col)
+    n_docs = docs.where(train).count()
+    sums = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     tokens, distinct = (sums[0] or 0) + n_docs, sums[1] + (n_docs > 0)
     model = fit(counts, n_docs, vocabulary_of(vocabulary))
-    frequent = counts.where(F.col("c") * heavy >= tokens)  # so there are ``heavy`` of them at most
-    listed = [(bytes(r.w), r.c) for r in frequent.toLocalIterator()]
-    sent = sc.broadcast((b" ".join(w for w, _ in listed), np.array([c for _, c in listed], np.int64), model))
-    whole = math.log10(tokens + distinct + 1)
+    words = _scored(counts, model)
+    is_heavy = F.col("c") * heavy >= max(tokens, 1)
+    listed = words.where(is_heavy).toPandas()  # ``heavy`` rows at most
+    sent = sc.broadcast((b" ".join(map(bytes, listed.w)), listed.c.to_numpy(np.int64), listed.p.to_numpy(np.float64)))
+    whole, end_log = math.log10(tokens + distinct + 1), model.log_end
     end_base = math.log10(n_docs + 1) - whole
 
     def work(batches):
-        names, c, own = sent.value
+        names, c, logs = sent.value
         number = {w: k for k, w in enumerate(names.split())}
-        base, logs, listed = np.log10(c + 1.0) - whole, np.full(len(c), np.nan), list(number)
-        memory: dict[bytes, float] = {}
+        base = np.log10(c + 1.0) - whole
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, lengths, known, bases, scores = [], [], [], [], []
             tail_row, tail_word, tail_n = [], [], []
-            rest: list[Counter] = []
-            found: list[np.ndarray] = []
             for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                at = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
-                rare = np.flatnonzero(at < 0)
-                rest.append(Counter(words[k] for k in rare))
-                found.append(at[at >= 0])
-                lengths.append(len(words) + 1)
-            met = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            met = met[np.isnan(logs[met])]
-            if len(met):
-                logs[met] = own.lattice.marginals([listed[k] for k in met])
-            tails = set().union(*rest)
-            new = [w for w in tails if w not in memory]
-            if len(memory) + len(new) > REMEMBERED:
-                memory, new = {}, list(tails)
-            memory.update(zip(new, own.lattice.marginals(new), strict=True))
-            for k, (at, tail) in enumerate(zip(found, rest, strict=True)):
-                row = (part << 33) + place + k
+                own = words_of(text)
+                at = np.fromiter(map(number.get, own, repeat(-1)), np.int64, len(own))
+                tail = Counter([own[k] for k in np.flatnonzero(at < 0).tolist()])
+                at = at[at >= 0]
+                row = (part << 33) + place + len(ids)
                 ids.append(row)
+                lengths.append(len(own) + 1)
                 known.append(len(at) + (n_docs > 0))
                 bases.append(float(base[at].sum()) + end_base)
-                scores.append((float(logs[at].sum()) + sum(memory[w] * n for w, n in tail.items()) + own.log_end) / math.log(10))
+                scores.append(float(logs[at].sum()) + end_log)
                 tail_row += [row] * len(tail)
                 tail_word += tail
                 tail_n += tail.values()
@@ -319,15 +333,14 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str, text_col: str = "t
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     both = saved(map_batches(narrow, work, "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, score double, w binary, n bigint"), "scores")
-    rare = both.where("w is not null").select("row", "w", "n").join(counts.where(F.col("c") * heavy < tokens), "w", "left")
-    c = F.coalesce("c", F.lit(0))
-    by_row = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * (F.log10(c + 1.0) - F.lit(whole))).alias("rest"))
-    told = both.where("w is null").select("row", "doc_id", "n_tokens", "known", "base", "score").join(by_row, "row", "left")
+    rare = both.where("w is not null").select("row", "w", "n").join(words.where(~is_heavy), "w")
+    more = [F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * (F.log10(F.col("c") + 1.0) - F.lit(whole))).alias("rest"), F.sum(F.col("n") * F.col("p")).alias("said")]
+    told = both.where("w is null").select("row", "doc_id", "n_tokens", "known", "base", "score").join(rare.groupBy("row").agg(*more), "row", "left")
     return told.select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+        ((F.col("score") + F.coalesce("said", F.lit(0.0))) / math.log(10)).alias("score"),
     )

@@ -148,7 +148,7 @@ def op3_skip_chain_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_subword_lattice_likelihood")
 def op1_subword_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    scored = lm.score(docs, docs.where(crc_of_id() % 7 != 2), public_tokenizers.path("piece_bpe_32k.model"))
+    scored = lm.score(docs, crc_of_id() % 7 != 2, public_tokenizers.path("piece_bpe_32k.model"))
     return scored.select("doc_id", (crc_of_id() % 7 == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
