@@ -139,3 +139,60 @@ def overlaps(docs: DataFrame, key: str, text: str, items: DataFrame, item: str,
 
     spoken = docs.select(key, F.array_join(F.array_distinct(tokens(F.col(text))), " ").alias("spoken"))
     return spoken.mapInArrow(work, T.StructType([items.schema[item], docs.schema[key], T.StructField("score", T.DoubleType())]))
+
+
+def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """The index of chunks (document, chunk_index, text): a row for each term of each chunk: term, document, chunk_index, tf, length. Written once, partitioned by ``bucket``, a query reads the buckets of its terms."""
+    words = chunks.select("document", "chunk_index", tokens(F.col(text)).alias("words")).withColumn("length", F.size("words"))
+    terms = words.select("document", "chunk_index", "length", F.explode("words").alias("term"))
+    return terms.groupBy("term", "document", "chunk_index").agg(F.count("*").alias("tf"), F.first("length").alias("length")).withColumn("bucket", bucket(F.col("term")))
+
+
+def bucket(term: Column, n: int = 64) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(n))
+
+
+def chunk_statistics(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """One row: n_chunks, mean length in terms."""
+    return chunks.select(F.size(tokens(F.col(text))).alias("length")).agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean"))
+
+
+def bm25_postings(index: DataFrame, statistics: DataFrame, query: list[str]) -> DataFrame:
+    """Scores from postings: document, chunk_index, score. Only the query's terms are read; statistics are one row."""
+    spark = index.sparkSession
+    wanted = spark.createDataFrame([(t,) for t in dict.fromkeys(query)], "term string")
+    found = index.where(F.col("bucket").isin([r.b for r in wanted.select(bucket(F.col("term")).alias("b")).distinct().collect()]) & F.col("term").isin(list(dict.fromkeys(query))))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    rows = found.join(F.broadcast(df), "term").join(F.broadcast(statistics))  # a row for each term of the query, and one row
+    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf").cast("double")
+    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return rows.groupBy("document", "chunk_index").agg(F.sum(score).alias("score"))
+
+
+def best_chunks(scored: DataFrame) -> DataFrame:
+    """The best chunk of each document: document, chunk_index, score."""
+    return scored.groupBy("document").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("c"))).alias("b")).select("document", (-F.col("b.c")).alias("chunk_index"), "b.score")
+
+
+def hybrid(lexical: DataFrame, dense: DataFrame, records: DataFrame, kinds: list[str] | None = None, k: int = 8) -> DataFrame:
+    """The k best documents by fused ranks of two scored lists (document, score), of the given kinds only, with their records (document, kind, ...).
+
+    The filter comes before the ranks. Every hit of either list has a rank; ranks of a list are places
+    in its global order, found in ranges of the score, so no task sorts a list.
+    """
+    wanted = records if kinds is None else records.where(F.col("kind").isin(kinds))
+    ids = wanted.select("document")
+    lists = [ranked_all(scored.join(ids, "document", "left_semi").select("document", "score"), "document") for scored in (lexical, dense)]
+    return fused(lists, "document", k).select("document", "score").join(wanted, "document")
+
+
+def ranked_all(scored: DataFrame, key: str) -> DataFrame:
+    """key, score, rank (from 1, by falling score, then key) of all rows: sorted by ranges, numbered within, lifted by the counts before."""
+    from verdigris.sources.kept import kept_table
+
+    dealt = kept_table(scored.repartitionByRange(F.desc("score"), F.col(key)).withColumn("_range", F.spark_partition_id()), "ranks")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    bases = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("score"), key))
+    return dealt.withColumn("_place", place).join(F.broadcast(bases), "_range").select(key, "score", (F.col("_base") + F.col("_place")).alias("rank"))

@@ -41,16 +41,56 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.top(_nearest(spark, sf_dir), "vec_id").select("vec_id", _micro().alias("score"))
 
 
+#: A vector's document is the one of the same id: embeddings are of documents.
+_RANKS = f"""{_BM25}, {_COS}, r AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM b UNION ALL SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) FROM v),
+  f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score FROM r GROUP BY id)"""
+
+
+@query("rank_fusion", f"WITH {_RANKS} SELECT id, floor(score * 1000000 + 0.5)::BIGINT AS score FROM f ORDER BY f.score DESC, id LIMIT 8")
+def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexical = rt.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS).withColumnRenamed("doc_id", "id")
+    dense = _nearest(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    return rt.fused([rt.ranked_all(lexical, "id"), rt.ranked_all(dense, "id")], "id").select("id", _micro().alias("score"))
+
+
+_CHUNKS = r"""p AS (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: trim(p, ' ') <> '') AS ps FROM documents)),
+  s AS (SELECT doc_id, i, j, substr(p, j * 2000 + 1, 2000) AS t FROM (SELECT *, unnest(range(ceil(length(p) / 2000.0)::BIGINT)) AS j FROM p)),
+  c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk_index, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM s),
+  n AS (SELECT count(*) AS n_chunks, avg(len(words)) AS mean FROM c),"""
+_CHUNKED = _CHUNKS + """
+  x AS (SELECT doc_id, chunk_index, len(words) AS length, term, len(list_filter(words, lambda w: w = term)) AS tf FROM c, (VALUES ('the'), ('tion'), ('una'), ('und')) AS q(term)),
+  d AS (SELECT term, count(*) AS df FROM x WHERE tf > 0 GROUP BY term),
+  b AS (SELECT doc_id, chunk_index, sum(ln(1 + (n_chunks - df + 0.5) / (df + 0.5)) * tf::DOUBLE * 2.2 / (tf::DOUBLE + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM x JOIN d USING (term), n WHERE tf > 0 GROUP BY doc_id, chunk_index)"""
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks = rt.chunked(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rt.postings(chunks), rt.chunk_statistics(chunks)
+
+
+@query("chunk_search", f"WITH {_CHUNKED}, h AS (SELECT doc_id, max(struct_pack(s := score, c := -chunk_index)) AS h FROM b GROUP BY doc_id) SELECT doc_id AS document, -h.c AS chunk_index, floor(h.s * 1000000 + 0.5)::BIGINT AS score FROM h")
+def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that has a term, by its best chunk."""
+    index, statistics = _index(spark, sf_dir)
+    best = rt.best_chunks(rt.bm25_postings(index, statistics, TERMS))
+    return best.select("document", F.col("chunk_index").cast("long").alias("chunk_index"), _micro().alias("score"))
+
+
 @query(
-    "rank_fusion",
-    f"""WITH {_BM25}, {_COS}, r AS (SELECT id, r FROM (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM b) WHERE r <= 100
-        UNION ALL SELECT id, r FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM v) WHERE r <= 100),
-        f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score FROM r GROUP BY id) SELECT id, floor(score * 1000000 + 0.5)::BIGINT AS score FROM f ORDER BY f.score DESC, id LIMIT 8""",
+    "hybrid_query",
+    f"""WITH {_CHUNKED}, {_COS}, k AS (SELECT doc_id FROM documents WHERE lang IN ('en', 'de')), h AS (SELECT doc_id AS id, max(score) AS score FROM b GROUP BY doc_id),
+       r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM h WHERE id IN (SELECT doc_id FROM k) UNION ALL SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) FROM v WHERE vec_id IN (SELECT doc_id FROM k)),
+       f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score FROM r GROUP BY id ORDER BY score DESC, id LIMIT 8)
+       SELECT id AS document, floor(score * 1000000 + 0.5)::BIGINT AS score, lang AS kind, CASE WHEN quality = 1 THEN 'passed' WHEN quality = 0 THEN 'failed' END AS outcome FROM f JOIN documents ON doc_id = id LEFT JOIN labels l ON l.doc_id = id""",
 )
-def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical = rt.top(rt.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS), "doc_id", 100).withColumnRenamed("doc_id", "id")
-    dense = rt.top(_nearest(spark, sf_dir), "vec_id", 100).withColumnRenamed("vec_id", "id")
-    return rt.fused([lexical, dense], "id").select("id", _micro().alias("score"))
+def hybrid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of two kinds by chunk scores and vectors, with the outcomes that their labels tell."""
+    index, statistics = _index(spark, sf_dir)
+    lexical = rt.best_chunks(rt.bm25_postings(index, statistics, TERMS))
+    dense = _nearest(spark, sf_dir).withColumnRenamed("vec_id", "document")
+    outcome = F.when(F.col("quality") == 1, "passed").when(F.col("quality") == 0, "failed")
+    records = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("doc_id").alias("document"), F.col("lang").alias("kind"), outcome.alias("outcome"))
+    return rt.hybrid(lexical, dense, records, ["en", "de"]).withColumn("score", _micro())
 
 
 @query(
