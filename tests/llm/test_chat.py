@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from verdigris.llm import chat
-from verdigris.llm.templates import Const, Show, Template, TemplateError, Text, escape, unescape
+from verdigris.llm.templates import Const, Show, Template, TemplateError, Text, escape, messages_of, unescape
 
 
 @pytest.mark.parametrize(
@@ -78,3 +78,18 @@ def test_tables(spark):
     assert len(parts) == 2 and parts[1][1] == "<turn user>\nz\n</turn>\n"
     assert chat.render(df.where("conv_id = 1"), add_generation_prompt=True).first().formatted.endswith("</turn>\n<turn assistant>\n")
     assert chat.read_back(df.limit(0)).count() == 0
+
+
+def test_a_stream_is_looped_over_once_or_refused():
+    rows = [("user", "a"), ("assistant", "b")]
+    loop = "{% for m in messages %}{{ m.text }}{% endfor %}"
+    assert Template(loop).render(messages=messages_of(rows))[0] == "ab"
+    for bad in (loop + loop, "{{ messages|length }}", "{{ messages[0].text }}", "{% if messages %}x{% endif %}", "{{ 'a' in messages }}", "{{ messages ~ '' }}", "{{ messages == none }}"):
+        with pytest.raises(TemplateError):
+            Template(bad).render(messages=messages_of(rows))
+    assert Template(loop + loop + "{{ messages|length }}").render(messages=[*iter(messages_of(rows))])[0] == "abab2"
+
+
+def test_texts_can_not_fill_memory():
+    with pytest.raises(TemplateError):
+        Template("{% set x = 'ab' ~ y %}" + "{% set x = x ~ x %}" * 40).render(y="c")

@@ -14,7 +14,9 @@ unbounded loops, so a template can neither reach the process nor run for ever.
 
 Expressions have literals, names, x.key and x['key'], filters (escape, trim, upper, lower, length),
 + - * // % ~, comparisons, in, not, and, or, and a if b else c. A list that is looped over may be any
-iterator; it is read one element ahead, so output can be longer than memory.
+iterator; it is read one element ahead, so output can be longer than memory. Such a stream is there
+once: a template that loops over it again, measures, tests, compares or indexes it gets a TemplateError.
+A text that an expression makes has LONGEST_TEXT characters at most.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ _POWER = {"or": 1, "and": 2, "==": 4, "!=": 4, "<": 4, ">": 4, "<=": 4, ">=": 4,
 _WORDS = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
 #: Products of strings and large powers would let a short template fill memory.
 _LARGEST = 1 << 63
+LONGEST_TEXT = 1 << 26
 
 ESCAPES = {"\\": "\\\\", "<": "\\l", ">": "\\g"}
 _ESCAPED = str.maketrans(ESCAPES)
@@ -105,6 +108,37 @@ class Generation:
     body: tuple
 
 
+class Stream:
+    """A list that can be looped over once, and nothing else."""
+
+    def __init__(self, items: Iterable):
+        self._items: Iterator | None = iter(items)
+
+    def __iter__(self) -> Iterator:
+        items, self._items = self._items, None
+        if items is None:
+            raise TemplateError("a stream of messages can be looped over once")
+        return items
+
+    def _refuse(self, *_: object) -> bool:
+        raise TemplateError("a stream of messages can only be looped over")
+
+    __bool__ = __eq__ = __contains__ = __len__ = __str__ = __getitem__ = _refuse
+    __hash__ = None
+
+
+def _whole(x: object) -> object:
+    if isinstance(x, Stream):
+        x._refuse()
+    return x
+
+
+def _joined(a: str, b: str) -> str:
+    if len(a) + len(b) > LONGEST_TEXT:
+        raise TemplateError("a text is too long")
+    return a + b
+
+
 def _text(x: object) -> str:
     return "" if x is None else str(x)
 
@@ -122,6 +156,7 @@ def _small(x: int) -> int:
 
 
 def _get(of: object, key: object) -> object:
+    _whole(of)
     if isinstance(of, Mapping):
         return of.get(key)
     if isinstance(of, (list, tuple)) and isinstance(key, int):
@@ -130,10 +165,11 @@ def _get(of: object, key: object) -> object:
 
 
 def _plus(a: object, b: object) -> object:
-    return a + b if isinstance(a, str) and isinstance(b, str) else _small(_number(a) + _number(b))
+    return _joined(a, b) if isinstance(a, str) and isinstance(b, str) else _small(_number(a) + _number(b))
 
 
 def _within(a: object, b: object) -> bool:
+    _whole(b)
     if isinstance(b, str):
         return isinstance(a, str) and a in b
     return isinstance(b, (Mapping, list, tuple)) and a in b
@@ -153,7 +189,7 @@ _BINARY: dict[str, Callable] = {
     "*": lambda a, b: _small(_number(a) * _number(b)),
     "//": lambda a, b: _number(a) // _number(b),
     "%": lambda a, b: _number(a) % _number(b),
-    "~": lambda a, b: _text(a) + _text(b),
+    "~": lambda a, b: _joined(_text(a), _text(b)),
 }
 _UNARY: dict[str, Callable] = {
     "not": lambda a: not a,
@@ -162,7 +198,7 @@ _UNARY: dict[str, Callable] = {
     "|trim": lambda a: _text(a).strip(),
     "|upper": lambda a: _text(a).upper(),
     "|lower": lambda a: _text(a).lower(),
-    "|length": lambda a: len(a) if isinstance(a, (str, list, tuple, Mapping)) else 0,
+    "|length": lambda a: len(a) if _whole(a) is not None and isinstance(a, (str, list, tuple, Mapping)) else 0,
 }
 
 
@@ -425,7 +461,7 @@ def _run(nodes: tuple) -> Run:
 
 
 def _turns(node: For, body: Run, over: Iterable | None, env: dict, sink: Sink, learned: bool) -> Iterator[None]:
-    rest, end = iter(over or ()), object()
+    rest, end = iter(over if isinstance(over, Stream) else over or ()), object()
     now, k = next(rest, end), 0
     while now is not end:
         then = next(rest, end)
@@ -502,5 +538,5 @@ class Template:
         return "".join(out), spans
 
 
-def messages_of(rows: Iterable[tuple[str | None, str | None]]) -> Iterable[dict[str, str]]:
-    return ({"role": r or "", "text": t or ""} for r, t in rows)
+def messages_of(rows: Iterable[tuple[str | None, str | None]]) -> Stream:
+    return Stream({"role": r or "", "text": t or ""} for r, t in rows)
