@@ -1,6 +1,9 @@
 import hashlib
+import itertools
 import re
+import time
 
+import numpy as np
 import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,9 +58,7 @@ def test_clean_text_stays_clean():
 
 
 def test_messages_are_exact_on_a_tree():
-    import itertools
 
-    import numpy as np
 
     rng, m = np.random.default_rng(0), pii.Field()
     m.near, m.skip = rng.normal(size=(5, 5)), rng.normal(size=(5, 5))
@@ -86,3 +87,34 @@ def test_documents_and_odd_rows(spark):
     clean = {r.doc_id: r.text for r in pii.redact(docs, m).collect()}
     assert clean[1] == "mail <EMAIL> now" and clean[2] is None and clean[3] == "" and "4111" not in clean[None]
     assert pii.detect(docs.limit(0), m).count() == 0
+
+
+def test_long_runs_are_read_once():
+    m = model()
+    for text in ("1 " * 1_000_000 + "1a", "1.1." * 500_000, "+1(" * 600_000, "a@" * 1_000_000, "4-" * 1_000_000):
+        began = time.process_time()
+        pii.units_of(text, pii.base_spans(text))
+        assert time.process_time() - began < 20
+    assert pii.find("so 974 555 3436x and 12-34-56-78 9", m)[0] == []
+    assert [text_of(u, "x 974 555 3436a 974 555 3437 b") for u in pii.units_of("x 974 555 3436a 974 555 3437 b", [])] == ["974 555 3437"]
+
+
+def text_of(unit, text):
+    return text[unit.start : unit.end]
+
+
+def test_messages_on_a_cycle_end_and_agree_with_the_marginals():
+    """Skip edges close cycles: beliefs are near the exact marginals and pick the same labels."""
+    rng, m = np.random.default_rng(4), pii.Field()
+    m.near, m.skip = rng.normal(size=(5, 5)) * 0.3, np.eye(5) * 0.8
+    units = [pii.Unit(k, k + 1, 0, ("p", k)) for k in range(4)]
+    m.patterns = {u.pattern: rng.normal(size=5) * 2 for u in units}
+    edges = [(0, 1, False), (1, 2, False), (2, 3, False), (0, 2, True), (1, 3, True)]
+    p = np.zeros((4, 5))
+    for labels in itertools.product(range(5), repeat=4):
+        score = sum(m.unary(u)[x] for u, x in zip(units, labels, strict=True)) + sum((m.skip if s else m.near)[labels[a], labels[b]] for a, b, s in edges)
+        for k, x in enumerate(labels):
+            p[k, x] += np.exp(score)
+    p /= p.sum(1, keepdims=True)
+    got = pii.beliefs(units, edges, m, 300)
+    assert np.abs(got - p).max() < 0.1 and (got.argmax(1) == p.argmax(1)).all()

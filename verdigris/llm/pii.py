@@ -47,7 +47,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBER = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])++(?![0-9A-Za-z])")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])++(?P<on>[A-Za-z]?)")
 _DOTTED = re.compile(r"(?<![0-9A-Za-z.])[0-9]++(?:\.[0-9]++){2,4}(?![0-9A-Za-z])")
 _DIGIT = re.compile("[0-9]")
 
@@ -111,7 +111,8 @@ def units_of(text: str, base: list[Span]) -> list[Unit]:
     for kind, start, end in sorted(base, key=lambda s: (s[1], -s[2])):
         if not taken or start >= taken[-1][1]:
             taken.append((start, end, kind + 1))
-    free = [m.span() for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7] + [m.span() for m in _DOTTED.finditer(text)] + [(a, b) for a, b in _around_signs(text)]
+    # a run that a letter follows is none, wherever in it one starts: it is read once
+    free = [m.span() for m in _NUMBER.finditer(text) if not m["on"] and m.end() - m.start() >= 7] + [m.span() for m in _DOTTED.finditer(text)] + [(a, b) for a, b in _around_signs(text)]
     free.sort(key=lambda s: (s[0], -s[1]))
     spans, k, upto = [], 0, 0
     for a, b in free:
