@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from verdigris.llm import langid, registry
@@ -46,3 +47,23 @@ def test_temperature_recovers_a_scale():
     x = rng.normal(size=(4000, 3)) * 2
     labels = np.array([rng.choice(3, p=p) for p in langid.softmax(x)])
     assert abs(langid.temperature_of(x * 5, labels) - 5) < 0.6
+
+
+def test_temperature_is_that_of_the_shipped_weights(spark):
+    docs = registry.documents(spark, SF).where("lang is not null")
+    model = langid.fit(docs, sample_rows=1 << 20)  # so every row is drawn
+    held = docs.where(F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(5)) == 0).select("text", "lang").collect()
+    logits = np.array([model.logits(langid.counts_of(r.text).astype(np.float32)) for r in held])
+    labels = np.array([model.classes.index(r.lang) for r in held])
+    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    assert len(held) > 20 and min(counts.values()) >= langid.HELD_LEAST and abs(np.log(langid.temperature_of(logits, labels) / model.temperature)) < 0.02
+
+
+def test_ties_repeats_and_too_many_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "aaa bbb", "x"), (2, "aaa bbb", "y")] * 20, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    assert model.classes == ["x", "y"] and langid.Model(["x", "y"], model.idf, model.weights * 0, model.bias * 0, 1.0).predict("aaa")[0] == "x"
+    assert langid.predict(docs.limit(0), model).count() == 0
+    monkeypatch.setattr(langid, "MAX_CLASSES", 1)
+    with pytest.raises(ValueError):
+        langid.fit(docs)

@@ -4,14 +4,14 @@ n-grams of one to three characters of the lower-cased text are hashed into bucke
 frequencies come from every training document. Weights are learned by follow-the-regularised-leader
 (FTRL-proximal) with elastic-net penalties in one streaming task over a bounded sample: each class
 gives SAMPLE_ROWS / classes rows in expectation, drawn by a hash, every epoch in another order. A
-fifth of the sample is held back for the temperature that calibrates the probabilities, and learned
-from once after that.
+fifth of the sample is never learned from (labels with fewer than HELD_LEAST rows hold none back): on
+it the temperature that calibrates the probabilities of the finished weights is chosen.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text if
 there is nothing to learn from; documents without a label are not learned from; ties go to the
 first label in alphabetical order; texts are read whole; repeated rows count each; further columns
-pass through, but for those named lang_pred or score, which ``predict`` replaces. At most MAX_CLASSES labels, the most
-frequent, are learned.
+pass through, but for those named lang_pred or score, which ``predict`` replaces. All labels are
+learned; more than MAX_CLASSES are an error (a model has half a megabyte for each while it learns).
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from verdigris.llm.common import kept_rows, map_batches, without
 
 BUCKET_BITS = 15
-SAMPLE_ROWS, EPOCHS, MAX_CLASSES = 8192, 2, 256
+SAMPLE_ROWS, EPOCHS, MAX_CLASSES, HELD_LEAST = 8192, 2, 256, 50
 UNKNOWN = "und"
 #: Odd multipliers of the hash, one for each length of n-gram.
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -115,7 +115,9 @@ def temperature_of(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) -> Model:
     """Learns from the labelled rows of train."""
     rows = train.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("string").alias("label"))
-    found = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_CLASSES).collect()
+    found = rows.groupBy("label").agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} labels")
     classes = sorted(r.label for r in found)
     if not classes:
         return Model([], np.zeros(1 << BUCKET_BITS, np.float32), np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), 1.0)
@@ -137,14 +139,14 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
     share = F.create_map(*[x for r in found for x in (F.lit(r.label), F.lit(min(1.0, sample_rows / len(classes) / r.n)))])
     place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
     drawn = rows.where(F.col("label").isin(classes) & (place < F.element_at(share, F.col("label")) * (1 << 30)))
-    held = F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(5)) == 0
-    turns = F.when(held, F.array(F.lit(epochs), F.lit(epochs + 1))).otherwise(F.array(*[F.lit(e) for e in range(epochs)]))
+    held = F.col("label").isin([r.label for r in found if r.n >= HELD_LEAST]) & (F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(5)) == 0)
+    turns = F.when(held, F.array(F.lit(epochs))).otherwise(F.array(*[F.lit(e) for e in range(epochs)]))
     stream = drawn.select("label", "text", F.explode(turns).alias("epoch")).withColumn("order", F.xxhash64("text", "epoch")).repartition(1).sortWithinPartitions("epoch", "order", "label")
     number = {c: k for k, c in enumerate(classes)}
 
     def learn(batches):
         model, kept, labels = Ftrl(1 << BUCKET_BITS, len(classes)), [], []
-        weights = bias = None
+        w = None
         for batch in batches:
             for label, text, epoch in zip(*(batch.column(k).to_pylist() for k in ("label", "text", "epoch")), strict=True):
                 counts = counts_of(text).astype(np.float32)
@@ -154,14 +156,13 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
                     at = np.flatnonzero(v)
                     model.learn(at, v[at].astype(np.float64) / size, number[label])
                     continue
-                if weights is None:
-                    w = model.weights()
-                    weights, bias = w[:-1].astype(np.float32), w[-1]
-                kept.append((v @ weights) / size + bias)
+                if w is None:  # all learning is done: held rows come last
+                    w = model.weights().astype("<f4")
+                kept.append((v @ w[:-1]) / size + w[-1])
                 labels.append(number[label])
-        w = model.weights()
+        w = model.weights().astype("<f4") if w is None else w
         t = temperature_of(np.array(kept), np.array(labels, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary()), pa.array([t])], ["w", "t"])
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([t])], ["w", "t"])
 
     got = map_batches(stream.select("label", "text", "epoch"), learn, "w binary, t double").collect()[0]
     w = np.frombuffer(got.w, "<f4").reshape(-1, len(classes))
