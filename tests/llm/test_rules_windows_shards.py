@@ -91,3 +91,26 @@ def test_shards_keep_the_mixture(spark):
         assert abs(sum(r.source == "hot" for r in x) - hot * len(x)) <= 6
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((d, len(t or "") + 1, zlib.crc32((t or "").encode())) for d, _, t in rows)
     assert sharding.interleave(df.limit(0)).count() == 0
+
+
+def test_pieces_of_a_long_item_have_its_windows(spark):
+    text = " ".join(f"w{k % 1700}" for k in range(3500))
+    items = spark.createDataFrame([(1, text), (2, "short one"), (3, " ".join(f"v{k}" for k in range(1009)))], "item_id bigint, text string")
+    pieces = decontam._pieces(items, "item_id", "text", 10).collect()
+    assert max(r.n for r in pieces) == decontam.PIECE_WORDS + 9
+    for item, whole in ((r.item_id, r.text) for r in items.collect()):
+        own = {w for r in pieces if r.id == str(item) for w in decontam.windows_of(r.words.encode().split())}
+        assert own == set(decontam.windows_of(whole.encode().split()))
+    docs = spark.createDataFrame([(1, "x " + text[8000:8400] + " y")], "doc_id bigint, text string")
+    assert decontam.scan(docs, items).first().hit_items == ["1"]
+
+
+def test_written_shards_hold_every_document_in_slot_order(spark, tmp_path):
+    rows = [(k, f"s{k % 3}", f"text {k} " * (k % 50)) for k in range(200)] + [(900, "s1", "very long " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    placed = sharding.interleave(docs, shards=4)
+    sharding.write_shards(placed, docs, f"{tmp_path}/shards")
+    got = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert sorted((r.doc_id, r.source, r.text) for r in got) == sorted(rows)
+    want = {(r.doc_id, r.shard, r.slot) for r in placed.collect()}
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == want

@@ -5,9 +5,10 @@ characters) and cut into windows of ten consecutive words; an item with fewer is
 windows go into one automaton over word numbers, through which each text passes once. Hits are
 word ranges, mapped back to code point offsets of the original text.
 
-The automaton is sent to the executors as its items. Their number is not bounded by nature, so
-items are dealt into blocks of at most BLOCK_WORDS words; one block is the usual case, and more
-blocks pass over all documents one after another. Longer items are split over windows.
+The automaton is sent to the executors as words. Items are cut into pieces of PIECE_WORDS words that
+overlap by a window less one, so each window is in one piece, and the driver and workers hold
+BLOCK_WORDS words of pieces at a time. One block, and so one automaton and one scan, is the rule; a
+larger benchmark passes over all documents a block after another, each read and let go in its turn.
 
 Defined results: a null or empty text has no words and no hits; items without words match nothing;
 repeated item ids count once; repeated documents are scanned each; with no items, nothing is hit;
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import pyarrow as pa
@@ -30,7 +31,8 @@ from pyspark.sql import types as T
 from verdigris.llm.common import kept_rows, map_batches, saved, without
 
 WINDOW = 10
-BLOCK_WORDS = 250_000
+#: A worker takes about 500 bytes for a word of its automaton.
+PIECE_WORDS, BLOCK_WORDS = 1000, 400_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -45,7 +47,7 @@ def windows_of(words: list[bytes], width: int = WINDOW) -> Iterator[tuple[bytes,
 
 
 class Scanner:
-    """The automaton of a block of (item id, text)."""
+    """The automaton of (item id, text). Pieces of an item that is not short are windows and more."""
 
     def __init__(self, items: list[tuple[str, str]], width: int = WINDOW):
         import ahocorasick
@@ -93,27 +95,44 @@ def offsets_of(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> list[list[tuple[str, str]]]:
-    """The items, dealt into blocks of bounded size by a hash; each block is collected by itself."""
+def _pieces(items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, words, n): the items' words in pieces; windows of an item are those of its pieces."""
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                for k in range(0, max(1, len(words) - width + 1) if words else 0, PIECE_WORDS):
+                    piece = words[k : k + PIECE_WORDS + width - 1]
+                    out.append((item, b" ".join(piece).decode("utf-8", "replace"), len(piece)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["id", "words", "n"])
+
     clean = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total = clean.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + total // (most * 4)
-    dealt = clean.withColumn("b", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
-    return [[(r.id, r.text) for r in dealt.where(F.col("b") == k).select("id", "text").toLocalIterator()] for k in range(n)]
+    return map_batches(clean, work, "id string, words string, n bigint").distinct()
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, width: int, most: int) -> tuple[int, Callable[[int], list[tuple[str, str]]]]:
+    """How many blocks of at most about ``most`` words the items make, and what reads one."""
+    pieces = saved(_pieces(items, id_col, text_col, width), "decontam-items")
+    n = -(-(pieces.agg(F.sum("n")).first()[0] or 1) // most)
+    dealt = pieces.withColumn("b", F.pmod(F.xxhash64("id", "words"), F.lit(n)))
+    return n, lambda k: [(r.id, r.words) for r in dealt.where(F.col("b") == k).select("id", "words").collect()]
 
 
 def scan(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with n_words, n_hit, hit_items (sorted ids), hit_spans (code points) and contaminated."""
     docs = without(docs, "n_words", "n_hit", "hit_items", "hit_spans", "contaminated", "_items", "_ranges")
-    blocks = _blocks(items, item_id, item_text, block_words)
+    n, block = _blocks(items, item_id, item_text, width, block_words)
+    sc = docs.sparkSession.sparkContext
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words bigint, n_hit bigint, hit_items array<string>, hit_spans array<bigint>, contaminated boolean").fields])
-    if len(blocks) == 1:
-        return map_batches(docs, _single(blocks[0], width, text_col), schema)
+    if n == 1:
+        return map_batches(docs, _single(sc.broadcast(block(0)), width, text_col), schema)
     base = docs.select("*", F.lit(None).cast("array<string>").alias("_items"), F.lit(None).cast("array<bigint>").alias("_ranges"))
-    for k, block in enumerate(blocks):
-        base = map_batches(base, _pass(block, width, text_col), base.schema)
-        if k + 1 < len(blocks):
-            base = saved(base, "decontam")
+    for k in range(n):
+        sent = sc.broadcast(block(k))
+        base = saved(map_batches(base, _pass(sent, width, text_col), base.schema), "decontam")
+        sent.destroy()
     return map_batches(base, _finish(text_col), schema)
 
 
@@ -129,9 +148,9 @@ def _append(batch: pa.RecordBatch, n_docs_columns: int, texts: list[str], n_word
     return pa.RecordBatch.from_arrays([*batch.columns[:n_docs_columns], *more.values()], [*names, *more])
 
 
-def _single(block, width, text_col):
+def _single(sent, width, text_col):
     def work(batches):
-        scanner = Scanner(block, width)
+        scanner = Scanner(sent.value, width)
         for batch in batches:
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
             n_words, ranges, items = [], [], []
@@ -146,9 +165,9 @@ def _single(block, width, text_col):
     return work
 
 
-def _pass(block, width, text_col):
+def _pass(sent, width, text_col):
     def work(batches):
-        scanner = Scanner(block, width)
+        scanner = Scanner(sent.value, width)
         for batch in batches:
             ranges, items = [], []
             for text, old_items, old in zip(batch.column(text_col).to_pylist(), batch.column("_items").to_pylist(), batch.column("_ranges").to_pylist(), strict=True):
@@ -177,11 +196,16 @@ def items_digest(items: list[str] | None) -> str:
 
 def clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
-    for block in _blocks(items, item_id, item_text, block_words):
+    n, block = _blocks(items, item_id, item_text, width, block_words)
+    for k in range(n):
+        sent = docs.sparkSession.sparkContext.broadcast(block(k))
 
-        def keep(block=block):
-            scanner = Scanner(block, width)
+        def keep(sent=sent):
+            scanner = Scanner(sent.value, width)
             return lambda text: not scanner.scan(words_of(text))[0]
 
         docs = kept_rows(docs, keep, text_col)
+        if n > 1:
+            docs = saved(docs, "decontam")
+            sent.destroy()
     return docs
