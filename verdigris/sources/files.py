@@ -1,7 +1,7 @@
 """Sources: folders of files, tables as text, archives, Prism containers, reports and ledgers.
 
 Folders are read by Spark's binary source, with size and name filters before the content is touched.
-Office formats need libraries that are not here, so their readers are given by the caller.
+Zipped Office formats are read by ``office``; other readers are given by the caller.
 """
 
 from __future__ import annotations
@@ -97,14 +97,6 @@ def prism_container(content: Column) -> Column:
     return F.when(first.startswith("504B0304"), "zip").when(first.startswith("5043464647524134"), "binary").otherwise("xml")
 
 
-def _number(text: str) -> str:
-    try:
-        value = float(text)
-    except ValueError:
-        return text
-    return str(int(value)) if value.is_integer() and abs(value) < 1e15 else repr(value)
-
-
 def _xml_tables(data: bytes) -> Iterator[dict]:
     bare = lambda e: e.tag.rsplit("}", 1)[-1]
     said = lambda e: "".join(e.itertext()).strip() if e is not None else ""
