@@ -61,6 +61,9 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "
 
 
 def write_shards(placed: DataFrame, docs: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes whole documents, shard by shard and in slot order, for ids that are unique."""
+    """Writes whole documents by shard, for ids that are unique: a shard's files, in order of their names, are in slot order.
+
+    Rows are dealt over ranges of (shard, slot), so a shard is the work of as many tasks as it has ranges.
+    """
     both = docs.join(placed.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
-    both.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    both.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
