@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import names as nm
 from verdigris.functions import text as fn
 from verdigris.operators import audits, claims, identity, ingest, reports, upsert
-from verdigris.sources import kept, sinks
+from verdigris.sources import files, kept, sinks
 from verdigris.streaming import index
 
 
@@ -153,3 +153,29 @@ def test_a_cluster_must_name_its_folder(spark):
 
     with pytest.raises(ValueError):
         kept.shared_folder(Session)
+
+
+def test_cards_and_pages(spark, tmp_path):
+    row = spark.createDataFrame([("E1", "Dose", ["b", "a"], "passed", {"z": "1", "a": None})], "exp_id string, title string, assays array<string>, outcome string, evidence map<string,string>")
+    shown = row.select(sinks.experiment_card({c: F.col(c) for c in ("exp_id", "title", "assays")}).alias("e"), sinks.claim_card(F.lit("c"), F.col("outcome"), F.lit(None).cast("string"), F.lit("It holds."), F.col("evidence")).alias("c"), sinks.file_card(F.lit("a.csv"), F.lit("data"), F.lit(2048), F.array(F.lit("x"), F.lit("y")), F.lit("x,y\n1,2")).alias("f"), sinks.report_card(F.lit("r"), F.lit("T"), F.lit("Abstract."), F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("r"), sinks.sidecar_json({"title": F.col("title"), "exp_id": F.col("exp_id")}).alias("s")).first()
+    assert shown.e == "# E1: Dose\n- Internal ID: E1\n- Assays: a, b"
+    assert shown.c == "# [PASSED] c\nstrength: unspecified\nIt holds.\n- a: \n- z: 1"
+    assert shown.f == "# a.csv\n- Role: data\n- Size: 2.0 KB\n- Columns: x, y\n\n```\nx,y\n1,2\n```" and "- Cites: a, b\n" in shown.r
+    assert shown.s == '{"exp_id":"E1","title":"Dose"}'
+    lines = sinks.viewer_page(spark.createDataFrame([(1, "</script>")], "k int, t string"), "k", "P").orderBy("part").collect()
+    assert [r.part for r in lines] == [0, 1, 2] and "</script>" not in lines[1].text
+    at = sinks.write_outputs({"01_dose_table.csv": spark.createDataFrame([(2, 'a "b"'), (1, None)], "k int, v string")}, str(tmp_path))
+    assert at.endswith(".preview") and [r.value for r in spark.read.text(f"{at}/01_dose_table.csv").collect()] == ["1,", '2,"a ""b"""']
+
+
+def test_tracked_tables_and_folders(spark, tmp_path):
+    (tmp_path / "01_dose.csv").write_text("id,n\n007,1\n012,2\n")
+    rows, read = files.tracked_table(spark, str(tmp_path / "01_dose.csv"))
+    assert values(rows) == [("007", 1), ("012", 2)] and len(read.first().sha256) == 64
+    walked = spark.createDataFrame([("E1/analysis/claims/t.py",), ("E1/notes.md",), ("E1/Raw/x.csv",)], "relative string")
+    assert values(files.evidence(walked)) == [("E1/Raw/x.csv",), ("E1/analysis/claims/t.py",)] and values(files.claims_folders(walked)) == [("E1/analysis/claims",)]
+    assert column(spark, files.table_name(F.col("f")), f="a/01_dose.csv") == "dose"
+    found = ingest.folder_of(spark.createDataFrame([("E1 - A", "E1"), ("E1 - B", "E1")], "folder string, exp_id string"), spark.createDataFrame([("E1",), ("E1 - A",)], "asked string"))
+    assert files.resolve_folder(found, "E1 - A") == "E1 - A"
+    with pytest.raises(ValueError):
+        files.resolve_folder(found, "E1")

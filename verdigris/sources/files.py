@@ -143,3 +143,41 @@ def sidecar(text: str) -> dict:
     if not isinstance(data, dict) or not data.get("exp_id"):
         raise ValueError("a sidecar is a mapping with an exp_id")
     return data
+
+
+def evidence(files: DataFrame) -> DataFrame:
+    """Files of a walk that lie in an experiment's folders of evidence: raw, data, reports or analysis."""
+    return files.where(F.col("relative").rlike("(?i)(^|/)(raw|data|reports|analysis)/"))
+
+
+def claims_folders(files: DataFrame) -> DataFrame:
+    """Folders that hold claims: folder."""
+    return files.select(F.regexp_extract("relative", "^(.*?/?claims)/", 1).alias("folder")).where("folder <> ''").distinct()
+
+
+def tracked_table(spark: SparkSession, path: str, separator: str = ",") -> tuple[DataFrame, DataFrame]:
+    """A table with all cells as text but for whole-number columns without leading zeros or blanks, and what was read: path, sha256."""
+    from verdigris.operators.multiset import typed_columns
+
+    read = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    rows = text_table(spark, path, separator)
+    kinds = {r.name: r.kind for r in typed_columns(rows, rows.columns).collect()}  # a row for each column
+    return rows.select(*[F.col(f"`{c}`").cast("bigint").alias(c) if kinds.get(c) == "integer" else F.col(f"`{c}`") for c in rows.columns]), read
+
+
+def table_name(file: Column) -> Column:
+    """The name under which a table is reached: '01_dose.csv' is dose."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_extract(file, r"([^/]*)$", 1), r"\.[^.]*$", ""), "^[0-9]+_", "")
+
+
+def vocabulary(defaults: dict[str, list[str]], private: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+    """Canonical names and their patterns; a private list stands in place of the default one of its name."""
+    return {**defaults, **(private or {})}
+
+
+def resolve_folder(found: DataFrame, asked: str) -> str:
+    """The one folder of ``ingest.folder_of``; none, or several, is an error."""
+    row = found.where(F.col("asked") == asked).first()
+    if row is None or row.n != 1:
+        raise ValueError(f"{asked!r} names {row.n if row else 0} folders")
+    return row.folder
