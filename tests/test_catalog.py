@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import names as nm
 from verdigris.functions import text as fn
-from verdigris.operators import audits, claims, identity, ingest, reports, upsert
+from verdigris.operators import audits, capture, claims, identity, ingest, reports, upsert
 from verdigris.sources import files, kept, sinks
 from verdigris.streaming import index
 
@@ -179,3 +179,15 @@ def test_tracked_tables_and_folders(spark, tmp_path):
     assert files.resolve_folder(found, "E1 - A") == "E1 - A"
     with pytest.raises(ValueError):
         files.resolve_folder(found, "E1")
+
+
+def test_plans_tell_what_they_read(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text("a\n1\n")
+    (tmp_path / "other.csv").write_text("a\n1\n2\n")
+    one, two = (files.text_table(spark, str(tmp_path / n)) for n in ("raw.csv", "other.csv"))
+    out, edges = capture.derived(spark, "data/x.csv", lambda a, b: a.join(b, "a"), one, two, recipe=str(tmp_path / "raw.csv"))
+    assert values(out) == [("1",)] and {r.path.rsplit("/", 1)[-1] for r in edges.collect()} == {"raw.csv", "other.csv"}
+    assert capture.bypasses(capture.read_files(out), str(tmp_path), [str(tmp_path / "raw.csv")]) == [str(tmp_path / "other.csv")]
+    assert capture.bypasses(["/elsewhere/x.csv", str(tmp_path / "x.py")], str(tmp_path), []) == []
+    assert capture.edges_of(spark, "a", spark.range(1)).count() == 0
+    assert [tuple(capture.claim("c", one.where(w), expected_failure=e).first())[1] for w, e in (("a > 5", False), ("a > 0", False), ("a > 0", True), ("a > 5", True))] == ["passed", "failed", "xfail", "xpass"]

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from verdigris.plans import audits, claims, identity, ingest, ledger, records, reports, retrieval, streams, tables, upserts  # noqa: F401
+from verdigris.plans import audits, capture, claims, identity, ingest, ledger, records, reports, retrieval, streams, tables, upserts  # noqa: F401
 from verdigris.plans.base import ORACLES, QUERIES  # noqa: F401
