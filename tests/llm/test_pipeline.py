@@ -44,7 +44,6 @@ def test_stages_against_brute_force(spark):
             assert text == before[doc].text
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     pieces = stages["packing"](spark, private, SF).collect()
     assert sum(r.length for r in pieces) == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for t in texts.values())
 
@@ -53,3 +52,21 @@ def test_run_is_the_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "MinHash near-dedup", "benchmark decontamination", "PII", "packing"]
     got = corpus_pipeline.run(spark, SF)
     assert got.columns[:4] == ["doc_id", "start", "length", "ids_crc32"] and got.count() > 0
+
+
+def test_stages_on_no_rows_and_on_repeated_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), SF)
+        assert none.count() == 0 and (name == "packing" or none.columns == docs.columns)
+    stages = dict(corpus_pipeline.STAGES)
+    long = "the long text of many words that goes on and on " * 40_000
+    twice = docs.limit(20).unionByName(docs.limit(20)).unionByName(spark.createDataFrame([(-1, long, None, None, 0), (-1, None, "en", None, 0), (-2, "", None, "x", 0)], docs.schema))
+    rows = twice.count()
+    assert stages["PII"](spark, twice, SF).count() == rows
+    kept = [r.doc_id for r in stages["MinHash near-dedup"](spark, twice.where("text is not null and text <> ''"), SF).collect()]
+    assert len(kept) == len(set(kept)) and -1 in kept
+    assert {r.doc_id for r in stages["language ID"](spark, twice, SF).where("doc_id < 0").collect()} <= {-1}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = stages["packing"](spark, twice, SF).collect()
+    assert sum(r.length for r in pieces) == sum(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in twice.collect())

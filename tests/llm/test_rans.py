@@ -1,4 +1,7 @@
+import os
 import struct
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -6,10 +9,12 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from verdigris.llm import rans
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -55,10 +60,11 @@ def test_files_against_the_library(spark):
     rows = [(k * 7 % 101, f"s{k % 3}", f"Token {k}, of a text.\n" * (k % 23)) for k in range(101)]
     rows += [(None, None, None), (5, "x", ""), (5, "x", "twice"), (5, "x", "twice"), (-3, None, "before all")]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(4)
-    blocks, table = rans.write(docs, BYTES, end_id=0, vocabulary=50_257, block_tokens=700)
-    assert blocks.count() > 4
+    docs = docs.withColumn("part", F.lit("clash")).withColumn("n_tokens", F.lit(None))
+    path = rans.write(docs, BYTES, end_id=0, vocabulary=50_257, block_tokens=700)
+    assert spark.read.parquet(f"{path}/blocks").count() > 4
     library, at = Tokenizer.from_file(BYTES), 0
-    got = sorted(rans.read(blocks, table).collect(), key=lambda r: r.start)
+    got = sorted(rans.read(spark, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
     texts = {}
     for doc, _, text in rows:
@@ -70,7 +76,29 @@ def test_files_against_the_library(spark):
     assert not any(texts.values())
 
 
+READER = """
+import sys, zlib
+import pyarrow.parquet as pq
+from verdigris.llm import rans
+table = rans.Table(rans.np.frombuffer(pq.read_table(sys.argv[1] + "/table").column("frequencies")[0].as_py(), "<u4"))
+for block in pq.read_table(sys.argv[1] + "/blocks").to_pylist():
+    docs, lengths, ids = rans.read_block(block["data"], table)
+    print(block["part"], block["block"], len(docs), len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+"""
+
+
+def test_another_process_reads_the_files_with_nothing_but_their_path(spark, tmp_path):
+    long = " ".join(f"w{k}" for k in range(330_000))  # more tokens than a block has
+    docs = spark.createDataFrame([(1, "a", "first text"), (2, "a", long), (3, None, None)], "doc_id bigint, source string, text string").coalesce(1)
+    path = rans.write(docs, BYTES, end_id=0, vocabulary=50_257, path=f"{tmp_path}/files")
+    told = subprocess.run([sys.executable, "-c", READER, path], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split()
+    ids = [np.array(Tokenizer.from_file(BYTES).encode(x, add_special_tokens=False).ids + [0], "<u4") for x in ("first text", long, "")]
+    parts = [ids[0], ids[1], ids[2]] if len(told) == 15 else [np.concatenate(ids)]
+    assert sorted(told[4::5]) == sorted(str(zlib.crc32(x.tobytes())) for x in parts)
+    assert sum(map(int, told[3::5])) == sum(map(len, ids)) > rans.BLOCK_TOKENS
+
+
 def test_no_documents(spark):
-    blocks, table = rans.write(spark.createDataFrame([], "doc_id bigint, source string, text string"), BYTES, 0, 50_257)
-    assert rans.read(blocks, table).count() == 0
+    path = rans.write(spark.createDataFrame([], "doc_id bigint, source string, text string"), BYTES, 0, 50_257)
+    assert rans.read(spark, path).count() == 0
     assert zlib.crc32(b"") == 0

@@ -11,12 +11,19 @@ of T tokens from these after w windows. So the state at any window follows from
 and partitions cut their documents at window borders without waiting for each other: the deficits
 that they start from are those that the windows before have left. Only the last window is short.
 
-A source with less than one token in a window has no queue of its own; all such sources share one.
-So there are ``size`` queues at most, which bounds what is broadcast.
-
-Defined results: a null or empty text has the end id only; a null source is a source; null ids,
-repeated rows and ids are packed like others; an empty table gives no pieces. Pieces of a document
-cover its ids once and in order.
+The closed form needs at least a token of each queue in a window. Sources with less have one queue
+together, whose documents are laid by fractional rank: the share of its source's tokens that lie
+before a document's middle. So these sources advance side by side there, each within a document of
+its share, whatever their number, and there are ``size`` queues at most, which bounds what is
+broadcast. Ranks are found in two levels (ranges of the rank, then places within one).
+
+Every window takes from every queue, so a document has a piece in each window that its tokens last
+for: with many sources pieces are short (README.md has a measure).
+
+Defined results: a null or empty text has the end id only; very long texts are packed whole; a null
+source is a source; null ids, repeated rows and ids are packed like others; an empty table gives no
+pieces; columns other than the id, source and text are ignored, whatever their names. Pieces of a
+document cover its ids once and in order.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ from verdigris.llm.common import map_batches
 from verdigris.llm.tokenized import tokenized
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
+#: Ranges of the fractional rank.
+RANGES = 4096
 
 
 def _queues(tokens: DataFrame, size: int) -> tuple[list[tuple[str | None, int]], int]:
@@ -68,28 +77,43 @@ def pieces_of(a: int, n: int, low: int, high: int, size: int, total: int) -> lis
     return out
 
 
+def _before(*by: str):
+    """The sum of n over the rows before, by the last column within the others."""
+    window = Window.partitionBy(*by[:-1]) if by[1:] else Window.partitionBy(F.lit(0))
+    return F.coalesce(F.sum("n").over(window.orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _ranked(tokens: DataFrame) -> DataFrame:
+    """(part, place, a) of documents that share a queue: its tokens before each, in the order of fractional ranks."""
+    shares = tokens.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))
+    shares = shares.select(F.col("source").alias("b_source"), F.col("part").alias("b_part"), _before("source", "part").alias("begin"), F.sum("n").over(Window.partitionBy("source")).alias("of"))
+    rank = (F.col("begin") + F.col("local_start") + F.col("n_tokens") / 2) / F.col("of")
+    rows = tokens.join(shares, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("part") == F.col("b_part"))).select("part", "place", F.col("n_tokens").alias("n"), rank.alias("rank"))
+    rows = rows.withColumn("range", F.floor(F.col("rank") * RANGES))
+    bases = rows.groupBy("range").agg(F.sum("n").alias("n")).select("range", _before("range").alias("base"))  # RANGES rows at most
+    inside = Window.partitionBy("range").orderBy("rank", "part", "place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(bases), "range")
+    return placed.select(F.col("part").alias("b_part"), F.col("place").alias("b_place"), (F.col("base") + F.col("inner")).alias("a"))
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, width: str = "<u2", **columns: str) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    tokens = tokenized(docs, tokenizer, end_id, width, **columns)
+    _, tokens = tokenized(docs, tokenizer, end_id, width, **columns)
     spark = docs.sparkSession
     own, rest = _queues(tokens, size)
-    table, low = [], 0
-    for k, (source, n) in enumerate([*own, *([(None, rest)] if rest else [])]):
-        table.append((k, source, k == len(own), low, low + n))
-        low += n
-    total = low
+    ends = np.cumsum([0, *[n for _, n in own], rest]).tolist()
+    total = ends[-1]
     if not total:
         return spark.createDataFrame([], SCHEMA)
-    queues = spark.createDataFrame(table, "queue int, q_source string, rest boolean, low bigint, high bigint")
-
-    shares = tokens.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))
-    named = shares.join(F.broadcast(queues.where("not rest").select("queue", "q_source")), F.col("source").eqNullSafe(F.col("q_source")), "left").withColumn("queue", F.coalesce("queue", F.lit(len(own)))).select("source", "part", "n", "queue")
-    upto = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = named.groupBy("queue", "part").agg(F.sum("n").alias("n")).select("queue", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("queue", "part").orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    begun = named.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, ["queue", "part"]).join(F.broadcast(queues.select("queue", "low", "high")), "queue")
-    begun = begun.select(F.col("source").alias("b_source"), F.col("part").alias("b_part"), (F.col("base") + F.col("inner")).alias("begin"), "low", "high")
+    queues = F.broadcast(spark.createDataFrame([(source, ends[k], ends[k + 1]) for k, (source, _) in enumerate(own)], "q_source string, low bigint, high bigint"))
+    of_queue = F.col("source").eqNullSafe(F.col("q_source"))
+    shares = tokens.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")).join(queues, of_queue)
+    begun = shares.select(F.col("source").alias("b_source"), F.col("part").alias("b_part"), _before("source", "part").alias("begin"), "low", "high")
     laid = tokens.join(begun, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("part") == F.col("b_part"))).select("doc_id", (F.col("begin") + F.col("local_start")).alias("a"), "n_tokens", "low", "high", "ids")
+    if rest:
+        others = tokens.join(queues, of_queue, "left_anti")
+        there = (F.col("part") == F.col("b_part")) & (F.col("place") == F.col("b_place"))
+        laid = laid.union(others.join(_ranked(others), there).select("doc_id", "a", "n_tokens", F.lit(total - rest).alias("low"), F.lit(total).alias("high"), "ids"))
 
     def work(batches):
         step = np.dtype(width).itemsize

@@ -1,7 +1,8 @@
 """Token ids in files: static range asymmetric numeral systems over one shared frequency table.
 
-A file set is a saved table with a row for each block. A block holds whole documents in ascending
-order of their ids and can be decoded by itself:
+A file set is a folder: ``table`` holds the frequency table, ``blocks`` a row for each block. Nothing
+else is needed to read it. A block holds whole documents in ascending order of their ids and can be
+decoded by itself:
 
     magic "VRA1", counts of tokens, lanes, steps, checkpoints and documents, digest of the table
     document ids, whether they are null, token counts
@@ -11,34 +12,39 @@ order of their ids and can be decoded by itself:
 
 Tokens are dealt over lanes that are coded side by side: token t is coded by lane t mod lanes at
 step t div lanes. States are 64 bits wide, frequencies sum to 2 ** SCALE_BITS. Every STEPS steps
-the state of all lanes and the place in the stream are kept, so that a block's segments can be
-decoded in parallel, too, and each is held against its checksum.
+the state of all lanes and the place in the stream are kept: from there, ``decode`` runs all
+segments of a block side by side, ``decode_segment`` any one alone, and each is held against its
+checksum.
 
 Defined results: a null or empty text is its end id; null document ids come first; documents with
 equal ids stand side by side, ordered by a hash of their text; an empty table makes no blocks.
-A document longer than a block is a block of its own.
+A document longer than a block is a block of its own, so very long texts are coded whole. Columns
+other than the id, source and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import map_batches, saved
-from verdigris.llm.tokenized import tokenized
+from verdigris.llm.common import Scratch, map_batches, shared_dir
+from verdigris.llm.tokenized import COUNTS, tokenized
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 32)
 #: Tokens that close a block, and steps between checkpoints.
 BLOCK_TOKENS, STEPS = 1 << 20, 256
+#: Tokens of a task that encodes, about.
+PART_TOKENS = 1 << 24
 _HEAD = struct.Struct("<4sQIIIQ16s")
 
 
@@ -108,9 +114,34 @@ def encode(ids: np.ndarray, table: Table) -> bytes:
 
 
 def decode(data: bytes, n: int, table: Table) -> np.ndarray:
-    """All ids of an encoded sequence."""
-    _, count = struct.unpack_from("<II", data, 0)
-    return np.concatenate([decode_segment(data, n, table, k) for k in range(count)]) if count else np.zeros(0, np.uint32)
+    """All ids of an encoded sequence, its segments side by side."""
+    lanes, count = struct.unpack_from("<II", data, 0)
+    if not count:
+        return np.zeros(0, np.uint32)
+    marks = np.frombuffer(data, np.dtype([("place", "<u8"), ("crc", "<u4"), ("state", "<u8", (lanes,))]), count, 8)
+    stream = np.frombuffer(data, "<u4", offset=8 + marks.nbytes)
+    place, state = marks["place"].astype(np.int64), marks["state"].astype(np.uint64)
+    last = -(-n // lanes) - (count - 1) * STEPS  # steps of the last segment
+    out = np.zeros((count, STEPS if count > 1 else last, lanes), np.uint32)
+    bits, back, slot_mask = np.uint64(SCALE_BITS), np.uint64(32), np.uint64((1 << SCALE_BITS) - 1)
+    for t in range(out.shape[1]):
+        some = slice(0, count if t < last else count - 1)
+        own = state[some]
+        slot = own & slot_mask
+        symbol = table.symbols[slot]
+        out[some, t] = symbol
+        own = table.frequencies[symbol] * (own >> bits) + slot - table.starts[symbol]
+        low = own < LOW
+        used = np.cumsum(low, axis=1)
+        at = (place[some, None] + used - 1)[low]
+        own[low] = (own[low] << back) | stream[at]
+        state[some] = own
+        place[some] += used[:, -1]
+    flat = out.reshape(-1)[:n]
+    for k, crc in enumerate(marks["crc"].tolist()):
+        if zlib.crc32(flat[k * STEPS * lanes : (k + 1) * STEPS * lanes].astype("<u4").tobytes()) != crc:
+            raise ValueError(f"checksum of segment {k} does not match")
+    return flat
 
 
 def decode_segment(data: bytes, n: int, table: Table, k: int) -> np.ndarray:
@@ -160,29 +191,38 @@ def read_block(data: bytes, table: Table) -> tuple[list[int | None], np.ndarray,
     return [i if k else None for i, k in zip(ids, known, strict=True)], lengths, decode(data[at + 17 * docs : -4], n, table)
 
 
-def frequencies(tokens: DataFrame, vocabulary: int, width: str) -> Table:
-    """The table of all ids of the corpus; what comes to the driver has a row for each id of the vocabulary at most."""
+def frequencies(counts: DataFrame, vocabulary: int) -> tuple[Table, int]:
+    """The table and number of all ids of the corpus, from the counts (ids) of its parts; what comes to the driver has a row for each id of the vocabulary at most."""
 
-    def count(batches):
+    def add(batches):
         sums = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            sums += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), width), minlength=vocabulary)
+            for own in batch.column("ids").to_pylist():
+                sums += np.frombuffer(own, "<i8")
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(sums[seen], pa.int64())], ["id", "n"])
 
-    rows = map_batches(tokens.select("ids"), count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(vocabulary, np.int64)
+    rows = map_batches(counts.select("ids"), add, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    sums = np.zeros(vocabulary, np.int64)
     for r in rows:
-        counts[r.id] = r.n
-    return Table.of(counts)
+        sums[r.id] = r.n
+    return Table.of(sums), int(sums.sum())
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, width: str = "<u2", block_tokens: int = BLOCK_TOKENS, **columns: str) -> tuple[DataFrame, Table]:
-    """The saved blocks (part, block, n_tokens, data), in ascending order of document ids by part and block, and their table."""
-    tokens = tokenized(docs, tokenizer, end_id, width, **columns)
-    table = frequencies(tokens, vocabulary, width)
+def write(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, path: str | None = None, width: str = "<u2", block_tokens: int = BLOCK_TOKENS, **columns: str) -> str:
+    """Writes a file set and returns its folder (by default one in the shared folder).
+
+    blocks: part, block, n_tokens, data, in ascending order of document ids by part and block.
+    """
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    path = path or f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
+    scratch = Scratch(spark)
+    both = scratch.hold(tokenized(docs, tokenizer, end_id, width, counted=vocabulary, **columns))
+    tokens = both.where(F.col("place") != COUNTS)
+    table, total = frequencies(both.where(F.col("place") == COUNTS), vocabulary)
+    spark.createDataFrame([(SCALE_BITS, bytearray(table.frequencies.astype("<u4").tobytes()))], "scale_bits int, frequencies binary").coalesce(1).write.parquet(f"{path}/table")
+    # ranges of about PART_TOKENS, however many the session's shuffles have
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // PART_TOKENS))
     dealt = tokens.select("doc_id", F.xxhash64("ids").alias("tie"), "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "ids")
 
     def work(batches):
@@ -207,11 +247,21 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, width:
         if held:
             yield close()
 
-    return saved(map_batches(dealt, work, "part bigint, block bigint, n_tokens bigint, data binary"), "rans", "uncompressed"), table
+    map_batches(dealt, work, "part bigint, block bigint, n_tokens bigint, data binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    scratch.clear()
+    return path
+
+
+def read_table(spark: SparkSession, path: str) -> Table:
+    told = spark.read.parquet(f"{path}/table").first()
+    if told.scale_bits != SCALE_BITS:
+        raise ValueError("not a table of this format")
+    return Table(np.frombuffer(told.frequencies, "<u4"))
 
 
-def read(blocks: DataFrame, table: Table) -> DataFrame:
-    """One row per document of the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document of a file set: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
+    table, blocks = read_table(spark, path), spark.read.parquet(f"{path}/blocks")
     upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     sums = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each task that wrote
     bases = sums.select("part", F.coalesce(F.sum("n").over(upto(F.lit(0), "part")), F.lit(0)).alias("part_base"))

@@ -127,8 +127,8 @@ def op10_deficit_round_robin_packing(spark: SparkSession, sf_dir: str) -> DataFr
 
 @query("op7_interleaved_rans")
 def op7_interleaved_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, table = rans.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, vocabulary=50_257)
-    return rans.read(blocks, table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    path = rans.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, vocabulary=50_257)
+    return rans.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 @query("op5_ftrl_language_id")

@@ -3,41 +3,51 @@
 Byte-level BPE never merges across the pieces that its pattern cuts a text into, so the ids of a
 text are those of its pieces in order. No piece has white space but at its start, unless white
 space runs on; so a text without such runs is cut into chunks before each space, which plain string
-functions do. An ``Encoder`` looks chunks up in a table of bounded size, cuts those it has not met
-into pieces, and lets the library encode pieces that are new, too. A text with other than plain
-characters (where two regex engines might class a character differently) goes to the library whole,
-as does every text of a tokenizer of another kind.
+functions do. An ``Encoder`` looks chunks up in a table of bounded size, and the library encodes
+those that are new together. A text goes to the library whole if it has other than plain characters
+(where two regex engines might class a character differently) or the beginning of one of the
+file's added tokens, and so does every text of a tokenizer of another kind.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from array import array
+from itertools import islice
 
 import numpy as np
 
-#: Chunks and pieces that a worker remembers at most: about 200 MB.
-REMEMBERED = 900_000
+#: Chunks that a worker remembers at most (about 200 MB), the first of which it looks at first, and characters that are cut into chunks at once, or one text.
+REMEMBERED, FIRST, CUT = 1_200_000, 20_000, 1 << 21
+#: Fixed value: the plain characters among ASCII.
+_PLAIN_ASCII = bytes([9, 10, 13, *range(32, 127)])
 #: Fixed value: characters whose class is the same in every Unicode version since 6.1.
 _PLAIN = "[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*"
 #: Fixed value: the pattern that byte-level pre-tokenization is defined by.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Signs that are neither letters, numbers nor white space.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class Encoder(dict):
-    """From a chunk to its ids as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """From texts to their ids as little-endian unsigned integers of a width."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, width: str = "<u4", remembered: int = REMEMBERED):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.width, self.code = np.dtype(width), {2: "H", 4: "I"}[np.dtype(width).itemsize]
+        self.table: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}  # a part of the table that fits the processor's cache; words that come early are frequent
         self.remembered = remembered
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
+        self.marks = {x["content"][:2].lower() for x in told.get("added_tokens", [])}
+        self.cased = any(mark.upper() != mark for mark in self.marks)
         before, cut = told.get("normalizer"), told.get("pre_tokenizer") or {}
         self.pieces, self.folds = None, False
         if before is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space"):
@@ -46,40 +56,93 @@ class Encoder(dict):
             first = cut["pretokenizers"][0]
             if first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed":
                 self.pieces, self.folds = regex.compile(first["pattern"]["Regex"]).findall, True
-        self.plain = regex.compile(_PLAIN).fullmatch
+        self.unicode_plain = regex.compile(_PLAIN).fullmatch
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 2 and chunk[-1] in ".,;:" and chunk[-2].isalpha():  # a letter ends a piece, and one such sign is one
-            return self[chunk[:-1]] + self[chunk[-1]]
-        pieces = () if chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha() else self.pieces(chunk)
-        ids = self.whole(chunk) if len(pieces) < 2 else b"".join(map(self.__getitem__, pieces))
-        if len(self) < self.remembered:
-            self[chunk] = ids
-        return ids
+    def plain(self, text: str) -> bool:
+        return not text.encode().translate(None, _PLAIN_ASCII) if text.isascii() else bool(self.unicode_plain(text))
 
-    def whole(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes() if len(ids) < 64 else np.asarray(ids, "<u4").tobytes()
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if self.width.isnative else np.asarray(ids, self.width).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text, four bytes each."""
-        if not text:
-            return b""
+    def chunks(self, text: str) -> list[str] | None:
+        """Parts of a text whose ids follow each other; None if only the library can tell."""
         if self.pieces is None or not self.plain(text) or self.folds and not unicodedata.is_normalized("NFC", text):
-            return self.whole(text)
+            return None
+        said = text.lower() if self.cased else text
+        if any(mark in said for mark in self.marks):
+            return None
         if self.folds:  # white space is dropped
-            return b"".join(map(self.__getitem__, text.lower().split()))
+            return text.lower().split()
         if "\t" in text or "\r" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return b"".join(map(self.__getitem__, self.pieces(text)))
-        return b"".join(map(self.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+            return self.pieces(text)
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def learn(self, new: set[str]) -> None:
+        """Puts these chunks into the table. A run of signs behind a letter is a piece of its own."""
+        table, cut, plain = self.table, [], set()
+        for chunk in new:
+            base = chunk.rstrip(_SIGNS)
+            if len(base) < len(chunk) and base[-1:].isalpha():
+                cut.append((chunk, base, chunk[len(base) :]))
+            else:
+                plain.add(chunk)
+        plain.update([base for _, base, _ in cut])
+        plain.update([signs for _, _, signs in cut])
+        some = list(plain.difference(table))
+        table.update(zip(some, [self.packed(e.ids) for e in self.library.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+        table.update([(chunk, table[base] + table[signs]) for chunk, base, signs in cut])
+
+    def looked_up(self, chunks: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """The ids of chunks, None for those that are new, and the places that are not among the first."""
+        ids = list(map(self.first.get, chunks))
+        missed = [k for k, x in enumerate(ids) if x is None]
+        get = self.table.get
+        for k in missed:
+            ids[k] = get(chunks[k])
+        return ids, missed
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text (null: none)."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and (not some or size + len(texts[at] or "") <= CUT):
+                some.append(texts[at] or "")
+                size += len(some[-1])
+                at += 1
+            known = len(self.table)
+            cut = [self.chunks(t) if t else [] for t in some]
+            found = [None if c is None else self.looked_up(c) for c in cut]
+            new = {c[k] for c, (ids, missed) in ((c, f) for c, f in zip(cut, found, strict=True) if f) for k in missed if ids[k] is None}
+            if new:
+                self.learn(new)
+            for t, c, told in zip(some, cut, found, strict=True):
+                if told is None:
+                    out.append(self.packed(self.library.encode(t, add_special_tokens=False).ids))
+                    continue
+                ids, missed = told
+                for k in missed:
+                    if ids[k] is None:
+                        ids[k] = self.table[c[k]]
+                out.append(b"".join(ids))
+            if len(self.first) < FIRST:
+                self.first = dict(islice(self.table.items(), FIRST))
+            if len(self.table) > self.remembered:  # what came first is met most often
+                for chunk in list(islice(reversed(self.table), len(self.table) - max(known, self.remembered))):
+                    del self.table[chunk]
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
-    if path not in _encoders:
+def encoder(path: str, width: str = "<u4") -> Encoder:
+    """One for each worker process, file and width."""
+    if (path, width) not in _encoders:
         _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, width] = Encoder(path, width)
+    return _encoders[path, width]
