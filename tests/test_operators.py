@@ -101,9 +101,9 @@ def test_claims(spark):
     assert values(rows.where(claims.is_grounded(F.col("outcome"), F.col("strength"))).select("id")) == [(1,)]
     assert ("outcome", "passed", 2) in values(claims.rollup(rows, ["outcome", "strength"]))
     assert {r.e: r.counts for r in claims.per_experiment(rows, "e", "outcome").collect()} == {"x": {"passed": 1, "xfail": 1}, "y": {"passed": 1}}
-    known = spark.createDataFrame([("K1::f.py::test_a", True), ("K1::f.py::test_b", False), ("K2::g.py::test_c", True), ("K3::g.py::test_c", True)], "claim_id string, grounded boolean")
-    cited = spark.createDataFrame([("test_a",), ("test_b",), ("test_c",), ("K2::g.py::test_c",), ("no",)], "id string")
-    assert dict(values(claims.resolved(cited, known).select("id", "verdict"))) == {"test_a": "backed", "test_b": "weak-backing", "test_c": "ambiguous", "K2::g.py::test_c": "backed", "no": "missing"}
+    known = spark.createDataFrame([("E1::f.py::test_a", True), ("E1::f.py::test_b", False), ("E2::g.py::test_c", True), ("E3::g.py::test_c", True)], "claim_id string, grounded boolean")
+    cited = spark.createDataFrame([("test_a",), ("test_b",), ("test_c",), ("E2::g.py::test_c",), ("no",)], "id string")
+    assert dict(values(claims.resolved(cited, known).select("id", "verdict"))) == {"test_a": "backed", "test_b": "weak-backing", "test_c": "ambiguous", "E2::g.py::test_c": "backed", "no": "missing"}
 
 
 def test_report_references_outside_fences(spark):

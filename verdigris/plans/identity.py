@@ -114,12 +114,12 @@ def alias_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "entity_slugs",
     r"""SELECT n_nationkey, lower(regexp_replace(n_name, '[^A-Za-z0-9]+', '', 'g')) AS slug, trim(regexp_replace(lower(n_name || ' of region ' || n_regionkey), '[^a-z0-9]+', '-', 'g'), '-') AS entity_slug,
-               'K1-' || n_nationkey || '::test_a.py::test_' || lower(n_name) AS claim_id FROM nation""",
+               'EXP-' || n_nationkey || '::test_a.py::test_' || lower(n_name) AS claim_id FROM nation""",
 )
 def entity_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = F.concat(F.lit("/abs/K1 - x/claims/test_a.py::test_"), F.lower("n_name"))
     phrase = F.concat(F.col("n_name"), F.lit(" of region "), F.col("n_regionkey").cast("string"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", fn.ascii_slug(F.col("n_name")).alias("slug"), fn.entity_slug(phrase).alias("entity_slug"), fn.claim_id(F.concat(F.lit("K1-"), F.col("n_nationkey").cast("string")), node).alias("claim_id"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", fn.ascii_slug(F.col("n_name")).alias("slug"), fn.entity_slug(phrase).alias("entity_slug"), fn.claim_id(F.concat(F.lit("EXP-"), F.col("n_nationkey").cast("string")), node).alias("claim_id"))
 
 
 @query(
