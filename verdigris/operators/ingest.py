@@ -22,7 +22,8 @@ def routed(sources: DataFrame, routes: DataFrame | None = None, there: DataFrame
     """The plan of an intake: source, folder, dest, routed_by (path, agent, ext or default), taken (dest is there).
 
     A known folder on the source's path stays, with what lies below it; else a route by name (name,
-    folder) decides, else the format. Cruft is left out.
+    folder) decides, else the format. Cruft is left out. A name that has several routes takes the first
+    of their folders in order: every source has one row.
     """
     name = base_name(F.col("source"))
     rows = sources.withColumn("name", name).where(~F.col("name").isin(CRUFT) & ~F.col("name").startswith("~$"))
@@ -30,7 +31,7 @@ def routed(sources: DataFrame, routes: DataFrame | None = None, there: DataFrame
     at = F.array_min(F.transform(F.array(*[F.lit(f) for f in FOLDERS]), lambda f: F.nullif(F.array_position(F.transform(parts, lambda p: F.lower(p)), f), F.lit(0))))
     rows = rows.withColumn("at", at.cast("int"))
     if routes is not None:
-        rows = rows.join(routes.select("name", F.col("folder").alias("told")), "name", "left")
+        rows = rows.join(routes.groupBy("name").agg(F.min("folder").alias("told")), "name", "left")
     else:
         rows = rows.withColumn("told", F.lit(None).cast("string"))
     kept = F.col("at").isNotNull()
