@@ -35,3 +35,15 @@ def test_a_source_has_one_row_whatever_its_routes(spark):
 def test_routing_summary(spark, papers):
     got, told = held(spark, papers, "routing_summary")
     assert got == told
+
+
+def test_intakes_are_told_apart(spark):
+    sources = spark.createDataFrame([(1, "in/a.pdf"), (2, "in/a.pdf"), (3, "in/a.pdf")], "batch int, source string")
+    routes, there = spark.createDataFrame([(2, "a.pdf", "reports")], "batch int, name string, folder string"), spark.createDataFrame([(1, "raw/a.pdf"), (2, "raw/a.pdf")], "batch int, path string")
+    plan = ingest.routed(sources, routes, there, ["batch"])
+    assert sorted((r.batch, r.dest, r.routed_by, r.taken) for r in plan.collect()) == [(1, "raw/a.pdf", "default", True), (2, "reports/a.pdf", "agent", False), (3, "raw/a.pdf", "default", False)]
+
+
+def test_intake_plan(spark, papers):
+    got, told = held(spark, papers, "intake_plan")
+    assert got == told

@@ -18,30 +18,35 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r".(\.[^.]+)$", 1))
 
 
-def routed(sources: DataFrame, routes: DataFrame | None = None, there: DataFrame | None = None) -> DataFrame:
+def routed(sources: DataFrame, routes: DataFrame | None = None, there: DataFrame | None = None, within: list[str] | None = None) -> DataFrame:
     """The plan of an intake: source, folder, dest, routed_by (path, agent, ext or default), taken (dest is there).
 
+    within: columns of all three tables that tell several intakes apart, and of the plan; a route and a
+    file that is there count in their own intake only, whatever names others share with it.
+
     A known folder on the source's path stays, with what lies below it; else a route by name (name,
     folder) decides, else the format. Cruft is left out. A name that has several routes takes the first
     of their folders in order: every source has one row.
     """
+    within = within or []
     name = base_name(F.col("source"))
     rows = sources.withColumn("name", name).where(~F.col("name").isin(CRUFT) & ~F.col("name").startswith("~$"))
     parts = F.split("source", "/")
     at = F.array_min(F.transform(F.array(*[F.lit(f) for f in FOLDERS]), lambda f: F.nullif(F.array_position(F.transform(parts, lambda p: F.lower(p)), f), F.lit(0))))
     rows = rows.withColumn("at", at.cast("int"))
     if routes is not None:
-        rows = rows.join(routes.groupBy("name").agg(F.min("folder").alias("told")), "name", "left")
+        rows = rows.join(routes.groupBy(*within, "name").agg(F.min("folder").alias("told")), [*within, "name"], "left")
     else:
         rows = rows.withColumn("told", F.lit(None).cast("string"))
     kept = F.col("at").isNotNull()
     folder = F.when(kept, F.lower(F.get(parts, F.col("at") - 1))).otherwise(F.coalesce("told", F.lit("raw")))
     below = F.when(kept & (F.col("at") < F.size(parts)), F.array_join(F.slice(parts, F.col("at") + 1, F.size(parts)), "/")).otherwise(F.col("name"))
     by = F.when(kept, "path").when(F.col("told").isNotNull(), "agent").when(suffix(F.col("source")).isin(RAW_SUFFIXES), "ext").otherwise("default")
-    plan = rows.select("source", folder.alias("folder"), F.concat_ws("/", folder, below).alias("dest"), by.alias("routed_by"))
+    plan = rows.select(*within, "source", folder.alias("folder"), F.concat_ws("/", folder, below).alias("dest"), by.alias("routed_by"))
     if there is None:
         return plan.withColumn("taken", F.lit(False))
-    return plan.join(there.select(F.col("path").alias("dest")).distinct().withColumn("_t", F.lit(True)), "dest", "left").select("source", "folder", "dest", "routed_by", F.coalesce("_t", F.lit(False)).alias("taken"))
+    held = there.select(*within, F.col("path").alias("dest")).distinct().withColumn("_t", F.lit(True))
+    return plan.join(held, [*within, "dest"], "left").select(*within, "source", "folder", "dest", "routed_by", F.coalesce("_t", F.lit(False)).alias("taken"))
 
 
 def planned(incoming: DataFrame, catalog: DataFrame, keys: dict[str, Column], key: str, order: str) -> DataFrame:
