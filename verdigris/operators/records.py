@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import names as nm
 from verdigris.functions.text import collapse, strip_markup
+from verdigris.sources.kept import kept_table
 
 #: Sources that only a file vouches for, and what a re-enriched record keeps.
 UNVERIFIED = ["pdf", "file"]
 KEPT = ["original_path", "legacy_id", "added_at", "content_state"]
+#: Rows up to which a table that has been counted is broadcast.
+SMALL = 262_144
 _PERSON = "struct<family:string,given:string>"
 #: What is read of a registry's answer; the rest is ignored.
 WORK = f"title array<string>, author array<{_PERSON}>, issued struct<`date-parts`:array<array<int>>>, `container-title` array<string>, DOI string, URL string, type string, abstract string, volume string, issue string, page string, publisher string"
@@ -156,19 +159,43 @@ def attached(records: DataFrame, files: DataFrame, key: str) -> DataFrame:
     return joined.select(*own, F.when(got, "full").otherwise(F.col("content_state")).alias("content_state"), F.when(got, F.col("_path")).otherwise(F.col("file_path")).alias("file_path"), F.when(got, F.col("_sha")).otherwise(F.col("sha")).alias("sha"))
 
 
+def _states(points: DataFrame, history: DataFrame) -> DataFrame:
+    """What paths held as of their marks, and last: path, mark, then, now; paths without a history are left out.
+
+    points: path, mark, each once; history: path, at, sha. Both are dealt over ranges of (path, at), so that
+    one path with a third of all rows fills many tasks; a range goes on from the last state of the ranges
+    before it, and those without a mark are only asked for that. States of the same time go by their sha.
+    """
+    told = history.where("path is not null and at is not null").select("path", "at", F.lit(0).alias("kind"), F.struct("at", "sha").alias("state"))
+    rows = told.unionByName(points.where("path is not null").select("path", F.col("mark").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(told.schema["state"].dataType).alias("state")))
+    order = ["at", "kind", "state"]
+    dealt = kept_table(rows.repartitionByRange("path", *order).withColumn("_range", F.spark_partition_id()), "states")
+    of_path = Window.partitionBy("path")
+    ranges = dealt.groupBy("path", "_range").agg(F.max("state").alias("_last"), F.max("kind").alias("_marked"))  # a row for each range of a path
+    ranges = ranges.withColumn("_before", F.last("_last", True).over(of_path.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_now", F.max("_last").over(of_path))
+    asked = dealt.join(ranges.where("_marked = 1 and _now is not null").select("path", "_range", "_before", "_now"), ["path", "_range"])
+    inside = Window.partitionBy("path", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = asked.withColumn("_held", F.coalesce(F.last("state", True).over(inside), "_before"))
+    return held.where("kind = 1").select("path", F.col("at").alias("mark"), F.col("_held.sha").alias("then"), F.col("_now.sha").alias("now"))
+
+
 def marker_drift(claims: DataFrame, marks: DataFrame, history: DataFrame) -> DataFrame:
     """Inputs that moved since a claim was last judged: claim_id, checked, stale, commit, changed (sorted paths).
 
     claims: claim_id, path; marks: claim_id, commit, at (when its strength was last set); history: path,
     at, sha (what a path held from then on). Of every path the state as of the mark is held against the
-    last one; a claim without a mark is not checked.
+    last one; a claim without a mark is not checked. States are found once for each path and mark,
+    however many claims share them.
     """
-    rows = claims.join(marks, "claim_id", "left")
-    states = rows.where("commit is not null").select("claim_id", "path", F.col("at").alias("mark")).join(history, "path")
-    sums = states.groupBy("claim_id", "path").agg(F.max_by("sha", F.when(F.col("at") <= F.col("mark"), F.col("at"))).alias("then"), F.max_by("sha", "at").alias("now"))
-    changed = sums.where("not (then <=> now)").groupBy("claim_id").agg(F.array_sort(F.collect_set("path")).alias("changed"))
-    every = rows.groupBy("claim_id").agg(F.max("commit").alias("commit"))
-    return every.join(changed, "claim_id", "left").select("claim_id", F.col("commit").isNotNull().alias("checked"), F.col("changed").isNotNull().alias("stale"), F.substring("commit", 1, 10).alias("commit"), F.coalesce("changed", F.expr("cast(array() as array<string>)")).alias("changed"))
+    last = marks.where("commit is not null").groupBy("claim_id").agg(F.max("commit").alias("commit"), F.max("at").alias("mark"))
+    points = claims.join(last.select("claim_id", "mark"), "claim_id").select("path", "mark").distinct()
+    moved = kept_table(_states(points, history).where("not (then <=> now)").select(F.col("path").alias("_path"), F.col("mark").alias("_mark")), "moved")
+    if moved.count() <= SMALL:
+        moved = F.broadcast(moved)
+    rows = claims.join(last, "claim_id", "left")
+    rows = rows.join(moved, (F.col("path") == F.col("_path")) & F.col("mark").eqNullSafe(F.col("_mark")) & F.col("commit").isNotNull(), "left")
+    told = rows.groupBy("claim_id").agg(F.max("commit").alias("commit"), F.array_sort(F.collect_set("_path")).alias("changed"))
+    return told.select("claim_id", F.col("commit").isNotNull().alias("checked"), (F.size("changed") > 0).alias("stale"), F.substring("commit", 1, 10).alias("commit"), "changed")
 
 
 def reviewed(edges: DataFrame, now_there: DataFrame, stamps: DataFrame) -> DataFrame:

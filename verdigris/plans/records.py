@@ -108,7 +108,7 @@ def claim_marker_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     named = lambda n: F.concat(F.lit("p"), n.cast("string"))
     orders = table(spark, sf_dir, "orders")
-    claims = orders.select(k.alias("claim_id"), F.explode(F.array(named(k % 40), named(k % 7))).alias("path")).distinct()
+    claims = orders.select(k.alias("claim_id"), F.explode(F.array(named(k % 40), named(k % 7))).alias("path"))
     marks = orders.where("o_orderkey % 5 <> 0").select(k.alias("claim_id"), F.concat(F.lit("commit"), F.lpad(k.cast("string"), 8, "0")).alias("commit"), ((k * 37) % 1000).alias("at"))
     history = table(spark, sf_dir, "events").select(named(F.col("user_id") % 40).alias("path"), F.col("event_id").alias("at"), F.col("event_type").alias("sha"))
     told = rc.marker_drift(claims, marks, history)
