@@ -14,6 +14,10 @@ UNVERIFIED = ["pdf", "file"]
 KEPT = ["original_path", "legacy_id", "added_at", "content_state"]
 #: Rows up to which a table that has been counted is broadcast.
 SMALL = 262_144
+#: Rows of either side of a block of pairs.
+SIDE = 2_048
+#: Tasks over which blocks are dealt at most.
+MOST_TASKS = 8_192
 _PERSON = "struct<family:string,given:string>"
 #: What is read of a registry's answer; the rest is ignored.
 WORK = f"title array<string>, author array<{_PERSON}>, issued struct<`date-parts`:array<array<int>>>, `container-title` array<string>, DOI string, URL string, type string, abstract string, volume string, issue string, page string, publisher string"
@@ -198,17 +202,45 @@ def marker_drift(claims: DataFrame, marks: DataFrame, history: DataFrame) -> Dat
     return told.select("claim_id", F.col("commit").isNotNull().alias("checked"), (F.size("changed") > 0).alias("stale"), F.substring("commit", 1, 10).alias("commit"), "changed")
 
 
+def _met_in_folders(stamps: DataFrame, files: DataFrame) -> DataFrame:
+    """All pairs of stamps and files with the same folder: the columns of both, without it.
+
+    Both sides of a folder are dealt by hashes into parts of about SIDE rows, and each block of two parts is met
+    by itself, so a folder fills as many tasks as its pairs need; a row is repeated once for each part across.
+    Blocks are counted first: they are small and their pairs many, so partitions go by them, not by bytes.
+    """
+    across = stamps.groupBy("folder").agg(F.count("*").alias("_s")).join(files.groupBy("folder").agg(F.count("*").alias("_f")), "folder")
+    parts = across.select("folder", F.ceil(F.col("_s") / SIDE).alias("_rows"), F.ceil(F.col("_f") / SIDE).alias("_columns"))
+    blocks = parts.agg(F.sum(F.col("_rows") * F.col("_columns"))).first()[0] or 1
+    dealt = lambda df: df.repartition(min(blocks, MOST_TASKS), "folder", "_row", "_column")
+    repeated = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = stamps.join(parts, "folder").select(*stamps.columns, F.pmod(F.xxhash64("artifact", "at"), "_rows").alias("_row"), repeated("_columns").alias("_column"))
+    right = files.join(parts, "folder").select(*files.columns, F.pmod(F.xxhash64("path", "sha"), "_columns").alias("_column"), repeated("_rows").alias("_row"))
+    return dealt(left).hint("shuffle_hash").join(dealt(right), ["folder", "_row", "_column"])
+
+
 def reviewed(edges: DataFrame, now_there: DataFrame, stamps: DataFrame) -> DataFrame:
     """Edges (artifact, path, sha, reviewed_at) after reviews: stamps (artifact, folder, at).
 
     A reviewed artifact's inputs are the files of its folder as they are now, and its inputs from outside
     with their present hashes; those that are gone go. Others stay as they were. now_there: path, sha, folder.
+    A stamp without an artifact reviews nothing.
+
+    Each row occurs once. The result has a row for each reviewed artifact and file of its folder, so it is never
+    shuffled: both sides are made distinct before they meet, and a pair that has several folders in common
+    meets in the first of them.
     """
-    stay = edges.join(stamps.select("artifact"), "artifact", "left_anti")
-    own = stamps.join(now_there, "folder").select("artifact", "path", "sha", F.col("at").alias("reviewed_at"))
-    again = edges.join(stamps, "artifact").select("artifact", "path", "folder", "at").join(now_there.select("path", F.col("sha").alias("now"), F.col("folder").alias("at_folder")), "path")
-    outside = again.where("at_folder <> folder").select("artifact", "path", F.col("now").alias("sha"), F.col("at").alias("reviewed_at"))
-    return stay.select("artifact", "path", "sha", "reviewed_at").unionByName(own).unionByName(outside).distinct()
+    stay = edges.join(stamps.select("artifact"), "artifact", "left_anti").select("artifact", "path", "sha", "reviewed_at").distinct()
+    each = stamps.where("artifact is not null and folder is not null").groupBy("artifact", "at").agg(F.array_sort(F.collect_set("folder")).alias("_a"))
+    within = now_there.join(stamps.where("artifact is not null").select("folder").distinct(), "folder", "left_semi").groupBy("path", "sha").agg(F.array_sort(F.collect_set("folder")).alias("_b"))
+    several = lambda c: F.when(F.size(c) > 1, F.col(c)).alias(c)
+    met = _met_in_folders(each.select("artifact", "at", several("_a"), F.explode("_a").alias("folder")), within.select("path", "sha", several("_b"), F.explode("_b").alias("folder")))
+    first = F.col("_a").isNull() | F.col("_b").isNull() | (F.array_min(F.array_intersect("_a", "_b")) == F.col("folder"))
+    own = met.where(first).select("artifact", "path", "sha", F.col("at").alias("reviewed_at"))
+    again = edges.select("artifact", "path").join(each, "artifact").join(now_there.where("folder is not null").select("path", "sha", "folder"), "path")
+    inside = again.groupBy("artifact", "path", "sha", "at").agg(F.max(F.array_contains("_a", F.col("folder"))).alias("_in"))
+    outside = inside.where("not _in").select("artifact", "path", "sha", F.col("at").alias("reviewed_at"))
+    return stay.unionByName(own).unionByName(outside)
 
 
 def claims_indexed(old: DataFrame, report: DataFrame, experiment: str) -> DataFrame:
