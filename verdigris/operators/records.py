@@ -191,7 +191,7 @@ def marker_drift(claims: DataFrame, marks: DataFrame, history: DataFrame) -> Dat
     last one; a claim without a mark is not checked. States are found once for each path and mark,
     however many claims share them.
     """
-    last = marks.where("commit is not null").groupBy("claim_id").agg(F.max("commit").alias("commit"), F.max("at").alias("mark"))
+    last = marks.where("commit is not null").groupBy("claim_id").agg(F.max(F.substring("commit", 1, 10)).alias("commit"), F.max("at").alias("mark"))
     points = claims.join(last.select("claim_id", "mark"), "claim_id").select("path", "mark").distinct()
     moved = kept_table(_states(points, history).where("not (then <=> now)").select(F.col("path").alias("_path"), F.col("mark").alias("_mark")), "moved")
     if moved.count() <= SMALL:
@@ -199,7 +199,7 @@ def marker_drift(claims: DataFrame, marks: DataFrame, history: DataFrame) -> Dat
     rows = claims.join(last, "claim_id", "left")
     rows = rows.join(moved, (F.col("path") == F.col("_path")) & F.col("mark").eqNullSafe(F.col("_mark")) & F.col("commit").isNotNull(), "left")
     told = rows.groupBy("claim_id").agg(F.max("commit").alias("commit"), F.array_sort(F.collect_set("_path")).alias("changed"))
-    return told.select("claim_id", F.col("commit").isNotNull().alias("checked"), (F.size("changed") > 0).alias("stale"), F.substring("commit", 1, 10).alias("commit"), "changed")
+    return told.select("claim_id", F.col("commit").isNotNull().alias("checked"), (F.size("changed") > 0).alias("stale"), "commit", "changed")
 
 
 def _met_in_folders(stamps: DataFrame, files: DataFrame) -> DataFrame:
