@@ -3,10 +3,11 @@
 Byte-level BPE never merges across the pieces that its pattern cuts a text into, so the ids of a
 text are those of its pieces in order. No piece has white space but at its start, unless white
 space runs on; so a text without such runs is cut into chunks before each space, which plain string
-functions do. An ``Encoder`` looks chunks up in a table of bounded size, and the library encodes
-those that are new together. A text goes to the library whole if it has other than plain characters
-(where two regex engines might class a character differently) or the beginning of one of the
-file's added tokens, and so does every text of a tokenizer of another kind.
+functions do. An ``Encoder`` finds the distinct chunks of some texts together and looks them up in a
+table of bounded size; the pieces of those that are new go to the library's model, which is where it
+sends them itself once it has cut a text. A text goes to the library whole if it has other than plain
+characters (where two regex engines might class a character differently) or the beginning of one of
+the file's added tokens, and so does every text of a tokenizer of another kind.
 """
 
 from __future__ import annotations
@@ -18,17 +19,33 @@ from array import array
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
-#: Chunks that a worker remembers at most (about 200 MB), the first of which it looks at first, and characters that are cut into chunks at once, or one text.
-REMEMBERED, FIRST, CUT = 1_200_000, 20_000, 1 << 21
+#: Chunks that a worker remembers at most (about 200 MB), and characters that are cut into chunks at once, or one text.
+REMEMBERED, CUT = 1_200_000, 1 << 21
 #: Fixed value: the plain characters among ASCII.
 _PLAIN_ASCII = bytes([9, 10, 13, *range(32, 127)])
 #: Fixed value: characters whose class is the same in every Unicode version since 6.1.
 _PLAIN = "[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*"
 #: Fixed value: the pattern that byte-level pre-tokenization is defined by.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Signs that are neither letters, numbers nor white space.
-_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Signs that are neither letters, numbers nor white space; ASCII letters; first bytes of plain characters that are letters but for two.
+_SIGN, _LETTER, _LEAD = np.zeros((3, 256), bool)
+_SIGN[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LEAD[0xC3:0xCA] = True
+#: Fixed value: the characters that byte-level models have for bytes. Those that are printed stand for themselves; 0 stays, it stands between pieces here.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = np.arange(256, dtype="<u2")
+_BYTE_CHARS[[b for b in range(256) if b not in _PRINTED]] = range(256, 512 - len(_PRINTED))
+_BYTE_CHARS[0] = 0
+
+
+def letters_end(data: np.ndarray) -> np.ndarray:
+    """Whether a letter ends with a byte of plain text in UTF-8."""
+    out = _LETTER[data]
+    out[1:] |= _LEAD[data[:-1]] & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    return out
 
 
 class Encoder:
@@ -42,7 +59,6 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.width, self.code = np.dtype(width), {2: "H", 4: "I"}[np.dtype(width).itemsize]
         self.table: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}  # a part of the table that fits the processor's cache; words that come early are frequent
         self.remembered = remembered
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
@@ -64,42 +80,61 @@ class Encoder:
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes() if self.width.isnative else np.asarray(ids, self.width).tobytes()
 
-    def chunks(self, text: str) -> list[str] | None:
-        """Parts of a text whose ids follow each other; None if only the library can tell."""
+    def chunks(self, text: str) -> str | None:
+        """Parts of a text whose ids follow each other, with 0 between them; None if only the library can tell."""
         if self.pieces is None or not self.plain(text) or self.folds and not unicodedata.is_normalized("NFC", text):
             return None
         said = text.lower() if self.cased else text
         if any(mark in said for mark in self.marks):
             return None
         if self.folds:  # white space is dropped
-            return text.lower().split()
+            return "\0".join(text.lower().split())
         if "\t" in text or "\r" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return self.pieces(text)
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-    def learn(self, new: set[str]) -> None:
-        """Puts these chunks into the table. A run of signs behind a letter is a piece of its own."""
-        table, cut, plain = self.table, [], set()
-        for chunk in new:
-            base = chunk.rstrip(_SIGNS)
-            if len(base) < len(chunk) and base[-1:].isalpha():
-                cut.append((chunk, base, chunk[len(base) :]))
-            else:
-                plain.add(chunk)
-        plain.update([base for _, base, _ in cut])
-        plain.update([signs for _, _, signs in cut])
-        some = list(plain.difference(table))
-        table.update(zip(some, [self.packed(e.ids) for e in self.library.encode_batch_fast(some, add_special_tokens=False)], strict=True))
-        table.update([(chunk, table[base] + table[signs]) for chunk, base, signs in cut])
-
-    def looked_up(self, chunks: list[str]) -> tuple[list[bytes | None], list[int]]:
-        """The ids of chunks, None for those that are new, and the places that are not among the first."""
-        ids = list(map(self.first.get, chunks))
-        missed = [k for k, x in enumerate(ids) if x is None]
-        get = self.table.get
-        for k in missed:
-            ids[k] = get(chunks[k])
-        return ids, missed
+            return "\0".join(self.pieces(text))
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ")
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces by the library's model."""
+        told = _BYTE_CHARS[np.frombuffer("\0".join(pieces).encode(), np.uint8)].tobytes().decode("utf-16-le").split("\0")
+        model, packed = self.library.model.tokenize, self.packed
+        return [packed([token.id for token in model(piece)]) for piece in told] if pieces else []
+
+    def learn(self, new: list[str]) -> None:
+        """Puts these chunks into the table."""
+        words = [x for x in new if x.isalpha() or x[:1] == " " and x[1:].isalpha()]
+        self.table.update(zip(words, self.ids_of(words), strict=True))
+        odd = [(x, self.pieces(x)) for x in new if x not in self.table]
+        ids = iter(self.ids_of([piece for _, pieces in odd for piece in pieces]))
+        self.table.update([(x, b"".join(islice(ids, len(pieces)))) for x, pieces in odd])
+
+    def gathered(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, given as its chunks with 0 between them."""
+        raw = np.frombuffer("\1".join(texts).encode(), np.uint8)
+        data, breaks = raw[raw > 1], np.flatnonzero(raw < 2)
+        if not len(data):
+            return [b""] * len(texts)
+        ends = breaks - np.arange(len(breaks))
+        edge = np.zeros(len(data) + 1, bool)
+        edge[[0, -1]] = edge[ends] = True
+        edge[1:-1] |= _SIGN[data[1:]] & letters_end(data)[:-1]  # a piece ends there in any case
+        bounds = np.flatnonzero(edge)
+        met = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        words = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.table.get, words))
+        new = [k for k, x in enumerate(ids) if x is None]
+        if new:
+            known = len(self.table)
+            self.learn([words[k] for k in new])
+            for k in new:
+                ids[k] = self.table[words[k]]
+            if len(self.table) > self.remembered:  # what came first is met most often
+                for chunk in list(islice(reversed(self.table), len(self.table) - max(known, self.remembered))):
+                    del self.table[chunk]
+        _, places, told = pa.array(ids, pa.large_binary()).take(met.indices).buffers()
+        told = memoryview(told or b"")
+        last = np.searchsorted(bounds, np.append(ends[raw[breaks] == 1], len(data)))
+        stops = np.frombuffer(places, np.int64)[last].tolist()
+        return [told[a:b].tobytes() for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none)."""
@@ -111,26 +146,9 @@ class Encoder:
                 some.append(texts[at] or "")
                 size += len(some[-1])
                 at += 1
-            known = len(self.table)
-            cut = [self.chunks(t) if t else [] for t in some]
-            found = [None if c is None else self.looked_up(c) for c in cut]
-            new = {c[k] for c, (ids, missed) in ((c, f) for c, f in zip(cut, found, strict=True) if f) for k in missed if ids[k] is None}
-            if new:
-                self.learn(new)
-            for t, c, told in zip(some, cut, found, strict=True):
-                if told is None:
-                    out.append(self.packed(self.library.encode(t, add_special_tokens=False).ids))
-                    continue
-                ids, missed = told
-                for k in missed:
-                    if ids[k] is None:
-                        ids[k] = self.table[c[k]]
-                out.append(b"".join(ids))
-            if len(self.first) < FIRST:
-                self.first = dict(islice(self.table.items(), FIRST))
-            if len(self.table) > self.remembered:  # what came first is met most often
-                for chunk in list(islice(reversed(self.table), len(self.table) - max(known, self.remembered))):
-                    del self.table[chunk]
+            cut = [self.chunks(t) for t in some]
+            told = iter(self.gathered([c for c in cut if c is not None]))
+            out += [self.packed(self.library.encode(t, add_special_tokens=False).ids) if c is None else next(told) for t, c in zip(some, cut, strict=True)]
         return out
 
     def encode(self, text: str | None) -> bytes:
